@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from medlar.llm.near_duplicates import near_duplicate_classes
 from medlar.llm.shared import table
 from medlar.llm.toxicity import toxicity_scores
 
 
+def op2_near_duplicates_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity_kneser_ney,)}
+    return {f.__name__: f for f in (op2_near_duplicates_probminhash, op3_toxicity_kneser_ney)}
 
 
 def oracle_sql() -> dict[str, str]:
