@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from medlar.llm import mixing
 from medlar.llm.near_duplicates import near_duplicate_classes
 from medlar.llm.shared import table
+from medlar.llm.sharding import shuffled_shards, text_size
 from medlar.llm.toxicity import toxicity_scores
 
 
@@ -19,9 +22,20 @@ def op3_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sharding_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shuffled_shards(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
+    return placed.select("doc_id", text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "place.shard", "place.slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_mixing_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", *[F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates_probminhash, op3_toxicity_kneser_ney)}
+    return {f.__name__: f for f in (op2_near_duplicates_probminhash, op3_toxicity_kneser_ney, op7_sharding_two_pass_shuffle, op9_mixing_sainte_lague)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing_sainte_lague": mixing.ORACLE}
