@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medlar.llm import mixing
+from medlar.llm.decontamination import decontamination_matches
 from medlar.llm.near_duplicates import near_duplicate_classes
 from medlar.llm.shared import table
 from medlar.llm.sharding import shuffled_shards, text_size
 from medlar.llm.toxicity import toxicity_scores
 
 
+def op1_decontamination_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_near_duplicates_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op9_mixing_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_duplicates_probminhash, op3_toxicity_kneser_ney, op7_sharding_two_pass_shuffle, op9_mixing_sainte_lague)}
+    return {f.__name__: f for f in (op1_decontamination_templates, op2_near_duplicates_probminhash, op3_toxicity_kneser_ney, op7_sharding_two_pass_shuffle, op9_mixing_sainte_lague)}
 
 
 def oracle_sql() -> dict[str, str]:
