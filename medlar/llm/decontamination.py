@@ -20,7 +20,7 @@ LEAST = 3
 #: Tokens of a window that must be words and not placeholders, and distinct.
 WORDS = 4
 #: Share of an item's distinct slot values that must each map to a single value.
-CONSISTENT = 0.8
+CONSISTENT = 0.9
 #: Windows of the benchmark, and matched texts, up to these numbers are broadcast: 16 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -120,5 +120,5 @@ def decontamination_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no passage of the benchmark; null texts stay."""
-    hashes = contaminated(docs, benchmark).select(F.col("text_hash").alias("_text_hash")).distinct()
-    return docs.join(hashes, F.xxhash64("text") == F.col("_text_hash"), "left_anti")
+    hashes = cut(contaminated(docs, benchmark).select(F.col("text_hash").alias("__text_hash")).distinct())
+    return docs.join(_narrow(hashes), F.xxhash64("text") == F.col("__text_hash"), "left_anti")

@@ -90,34 +90,34 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BL
     of ``docs`` that is called ``mix`` is replaced.
     """
     key = order_key(F.col("doc_id"), F.col("text"), seed)
-    front = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    sized = cut(docs.select("source", word_count(F.col("text")).alias("_size"), key.alias("_key")).select("source", "_size", front.alias("_front")))
-    plan = cut(quotas(sized.groupBy("source").agg(F.sum("_size").alias("size"), F.count("*").alias("rows")), shards, block, weights, most))
+    front = F.conv(F.substring("__mix_key", 1, 8), 16, 10).cast("long")
+    sized = cut(docs.select("source", word_count(F.col("text")).alias("__mix_size"), key.alias("__mix_key")).select("source", "__mix_size", front.alias("__mix_front")))
+    plan = cut(quotas(sized.groupBy("source").agg(F.sum("__mix_size").alias("size"), F.count("*").alias("rows")), shards, block, weights, most))
     few = plan.count() <= BROADCAST_ROWS
     words = F.least(F.element_at("seats", -1) * block, F.col("size") * most)
     passes = F.when(F.col("size") > 0, F.expr("words div size")).otherwise(0)
     plan = plan.withColumn("words", words).withColumn("passes", passes)
     plan = plan.select(
-        F.col("source").alias("_source"), F.struct("place", "size", "rows", "target", "seats", "passes", (F.col("words") - F.col("passes") * F.col("size")).alias("extra")).alias("_plan")
+        F.col("source").alias("__mix_source"), F.struct("place", "size", "rows", "target", "seats", "passes", (F.col("words") - F.col("passes") * F.col("size")).alias("extra")).alias("__mix_plan")
     )
     plan = F.broadcast(plan) if few else plan
 
     def placed(df: DataFrame) -> DataFrame:
-        buckets = F.ceil(F.col("_plan.rows") / ROWS).cast("long")
-        return df.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_place", F.col("_plan.place")).withColumn("_bucket", F.shiftright(F.col("_front") * buckets, 32))
-
-    sums = placed(sized).groupBy("_place", "_bucket").agg(F.sum("_size").alias("_words"))
-    ahead = F.coalesce(F.sum("_words").over(Window.partitionBy("_place").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("_place", "_bucket", ahead.alias("_ahead"))
-    rows = docs.drop("mix").withColumn("_size", word_count(F.col("text"))).withColumn("_key", key).withColumn("_front", front)
-    rows = placed(rows).join(sums, ["_place", "_bucket"])
-    inside = Window.partitionBy("_place", "_bucket").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_start", F.col("_ahead") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    start, size, extra = F.col("_start"), F.col("_size"), F.col("_plan.extra")
-    taken = F.col("_plan.passes") * size + F.greatest(F.lit(0), F.least(size, extra - start))
-    copies = F.col("_plan.passes") + F.when(start < extra, 1).otherwise(0)
-    shard = F.when(taken > 0, F.size(F.filter("_plan.seats", lambda x: x <= F.floor(start / block))))
-    done = F.struct(size.alias("size"), F.col("_plan.size").alias("source_size"), F.col("_plan.target").alias("target"), taken.cast("long").alias("taken"), copies.cast("long").alias("copies"), shard.alias("shard"))
+        buckets = F.ceil(F.col("__mix_plan.rows") / ROWS).cast("long")
+        return df.join(plan, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_place", F.col("__mix_plan.place")).withColumn("__mix_bucket", F.shiftright(F.col("__mix_front") * buckets, 32))
+
+    sums = placed(sized).groupBy("__mix_place", "__mix_bucket").agg(F.sum("__mix_size").alias("__mix_words"))
+    ahead = F.coalesce(F.sum("__mix_words").over(Window.partitionBy("__mix_place").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__mix_place", "__mix_bucket", ahead.alias("__mix_ahead"))
+    rows = docs.drop("mix").withColumn("__mix_size", word_count(F.col("text"))).withColumn("__mix_key", key).withColumn("__mix_front", front)
+    rows = placed(rows).join(sums, ["__mix_place", "__mix_bucket"])
+    inside = Window.partitionBy("__mix_place", "__mix_bucket").orderBy("__mix_key", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__mix_start", F.col("__mix_ahead") + F.coalesce(F.sum("__mix_size").over(inside), F.lit(0)))
+    start, size, extra = F.col("__mix_start"), F.col("__mix_size"), F.col("__mix_plan.extra")
+    taken = F.col("__mix_plan.passes") * size + F.greatest(F.lit(0), F.least(size, extra - start))
+    copies = F.col("__mix_plan.passes") + F.when(start < extra, 1).otherwise(0)
+    shard = F.when(taken > 0, F.size(F.filter("__mix_plan.seats", lambda x: x <= F.floor(start / block))))
+    done = F.struct(size.alias("size"), F.col("__mix_plan.size").alias("source_size"), F.col("__mix_plan.target").alias("target"), taken.cast("long").alias("taken"), copies.cast("long").alias("copies"), shard.alias("shard"))
     return rows.withColumn("mix", done).select(*[c for c in docs.columns if c.lower() != "mix"], "mix")
 
 

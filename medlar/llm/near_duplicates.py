@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlar.llm.shared import cut, hashed_words, mix64
+from medlar.llm.shared import cut, free_name, hashed_words, mix64
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -302,3 +302,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     known = marked.select("id", "node", "check").join(classes, ["node", "check"]).select(F.col("id").alias("doc_id"), "class_id")
     unread = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
     return known.union(unread)
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the one with the least id stays, and every row with a
+    null text. Where ids are null or repeat, a hash of id and text stands for the id, and of equal rows one stays."""
+    ident = F.col("doc_id").cast("long")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        return _without(docs, ident, near_duplicate_classes(docs, threshold))
+    ident = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))
+    kept = _without(docs, ident, near_duplicate_classes(docs.select(ident.alias("doc_id"), "text"), threshold))
+    name = free_name(docs, "__ident")
+    whole = kept.where("text IS NOT NULL").withColumn(name, ident).dropDuplicates([name]).drop(name)
+    return whole.union(kept.where("text IS NULL"))
+
+
+def _without(docs: DataFrame, ident: Column, classes: DataFrame) -> DataFrame:
+    more = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__more")).distinct())
+    if more.count() <= BROADCAST_ROWS:
+        more = F.broadcast(more)
+    return docs.join(more, ident == F.col("__more"), "left_anti")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from medlar.llm import mixing
 from medlar.llm.decontamination import decontamination_matches
 from medlar.llm.near_duplicates import near_duplicate_classes
+from medlar.llm.nearest import nearest_by_inner_product
 from medlar.llm.shared import table
 from medlar.llm.sharding import shuffled_shards, text_size
+from medlar.llm.token_counts import token_report
 from medlar.llm.toxicity import toxicity_scores
 
 
@@ -27,19 +29,35 @@ def op3_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts_two_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_report(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN)
+
+
 def op7_sharding_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffled_shards(table(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
     return placed.select("doc_id", text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "place.shard", "place.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_nearest_neighbours_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_inner_product(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", *[F.col(f"mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination_templates, op2_near_duplicates_probminhash, op3_toxicity_kneser_ney, op7_sharding_two_pass_shuffle, op9_mixing_sainte_lague)}
+    return {f.__name__: f for f in (op1_decontamination_templates, op2_near_duplicates_probminhash, op3_toxicity_kneser_ney, op5_token_counts_two_tier, op7_sharding_two_pass_shuffle, op8_nearest_neighbours_hnsw, op9_mixing_sainte_lague, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
