@@ -36,33 +36,36 @@ _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 _NAME = r"(\p{Lu}(?<=[\p{L}\p{Nd},;] .)\p{Ll}+)(?: \p{Lu}\p{Ll}+)*"
 
 
-def template(text: Column) -> Column:
-    """Tokens of the text: a word in lower case, or a type (#, @, % for number, name and unit) before a slot's value."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"[#@%\s]+", " ")
+#: What stands between tokens; full stops, commas, colons and strokes before a digit don't.
+_GAP = r"(?:[^\p{L}\p{M}\p{Nd}#@%.,:/]|[.,:/](?!\p{Nd}))+"
+_SLOT = r"([#@%])(?:(?<=#)[\p{Nd}.,:/]+|(?<=[@%])\p{L}+)"
+
+
+def template(text: Column, values: bool = False) -> Column:
+    """Tokens of the text: a word in lower case, or a type (#, @, % for number, name and unit), with a slot's value after
+    it if ``values``."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[#@%]", " ")
     text = F.regexp_replace(text, _NAME, "@$1")
     text = F.regexp_replace(text, _NUMBER, " #$0 ")
     text = F.regexp_replace(F.lower(text), rf"(#[^ ]+ ) ?({UNITS.replace(' ', '|')})(?![\p{{L}}\p{{M}}])", "$1%$2")
-    text = F.regexp_replace(text, r"(?<=#[^ ]{0,40})[.,:/]", "~")
-    tokens = F.split(text, r"[^\p{L}\p{M}\p{Nd}#@%~]+")
-    return F.filter(tokens, lambda x: x != "")
-
-
-def _shape(token: Column) -> Column:
-    return F.when(token.rlike("^[#@%]"), F.substring(token, 1, 1)).otherwise(token)
+    if not values:
+        text = F.regexp_replace(text, _SLOT, "$1")
+    return F.array_remove(F.split(text, _GAP), "")
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """Hashes of the windows of ``size`` tokens; empty if there are fewer."""
-    n = F.size(tokens)
-    each = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(tokens, i, size)))
-    return F.when(n >= size, each).otherwise(F.array().cast("array<bigint>"))
+def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
+    """(keep, size, place, window): hashes of all runs of ``size`` tokens of column shapes."""
+    last = f"greatest(size(shapes) - {size - 1}, 0)"
+    side = F.arrays_zip(*[F.expr(f"slice(shapes, {k + 1}, {last})").alias(f"t{k}") for k in range(size)])
+    placed = df.select(*keep, F.posexplode(side).alias("place", "run"))
+    return placed.select(*keep, F.lit(size).alias("size"), "place", F.xxhash64(*[f"run.t{k}" for k in range(size)]).alias("window"))
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, size, at, window, slots, windows) of each window of each item that has words enough, the first of equal
     ones of an item; a shorter item than a window is one window."""
-    items = benchmark.select("item_id", template(F.col("text")).alias("tokens")).where("item_id IS NOT NULL")
-    items = items.withColumn("shapes", F.transform("tokens", _shape)).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).where(f"size >= {WORDS}")
+    items = benchmark.select("item_id", template(F.col("text"), values=True).alias("tokens"), template(F.col("text")).alias("shapes")).where("item_id IS NOT NULL")
+    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).where(f"size >= {WORDS}")
     places = items.withColumn("at", F.explode(F.expr("sequence(0, size(tokens) - size)")))
     part = places.withColumn("words", F.expr("slice(shapes, at + 1, size)")).withColumn("values", F.expr("slice(tokens, at + 1, size)"))
     kept = part.where(F.size(F.array_distinct(F.filter("words", lambda x: ~x.isin("#", "@", "%")))) >= WORDS)
@@ -86,10 +89,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = cut(_item_windows(benchmark))
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most WINDOW of them
     wanted = items.select("window").distinct()
-    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_hash"), F.transform(template(F.col("text")), _shape).alias("shapes"))
+    texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("shapes"))
     found = None
     for size in sizes or [WINDOW]:
-        placed = texts.select("text_hash", F.lit(size).alias("size"), F.posexplode(_windows(F.col("shapes"), size)).alias("place", "window"))
+        placed = _windows(texts, size, "text_hash")
         found = placed if found is None else found.union(placed)
     found = cut(found.join(_narrow(wanted), "window").distinct())
 
@@ -100,7 +103,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slotted = found.join(_narrow(items.where("slots").select("size", "window", "item_id", "at", "values")), ["size", "window"])
     needed = cut(slotted.select("text_hash").distinct())
     source = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_hash"), "text").join(_narrow(needed), "text_hash")
-    tokens = source.groupBy("text_hash").agg(F.first("text").alias("text")).select("text_hash", template(F.col("text")).alias("tokens"))
+    tokens = source.groupBy("text_hash").agg(F.first("text").alias("text")).select("text_hash", template(F.col("text"), values=True).alias("tokens"))
     compared = slotted.join(tokens, "text_hash").withColumn("own", F.expr("slice(tokens, place + 1, size)"))
     compared = compared.select("text_hash", "item_id", "size", (F.col("place") - F.col("at")).alias("shift"), F.explode(F.arrays_zip(F.col("values").alias("a"), F.col("own").alias("b"))).alias("s"))
     compared = compared.where("s.a RLIKE '^[#@%]'").groupBy("text_hash", "item_id", "size", "shift", "s.a").agg((F.min("s.b") == F.max("s.b")).alias("one"))
