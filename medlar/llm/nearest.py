@@ -71,6 +71,8 @@ def _level_graph(x: np.ndarray, links: int) -> np.ndarray:
         filled[free] += 1
     source, place = np.nonzero(chosen >= 0)
     target = chosen[source, place]
+    mutual = (chosen[target] == source[:, None]).any(1)
+    source, place, target = source[~mutual], place[~mutual], target[~mutual]
     order = np.lexsort((place, target))
     into, back = target[order], source[order]
     turn = np.arange(len(into)) - np.searchsorted(into, into)
@@ -108,8 +110,8 @@ class Graph:
 
     def pack(self) -> bytes:
         """Flat arrays behind one another, with their lengths in front."""
-        head = [len(self.ids), self.vectors.shape[1], len(self.members), *(len(m) for m in self.members)]
-        parts = [np.array([len(head), *head], np.int64), self.ids.astype(np.int64), self.vectors.astype(np.float32)]
+        head = [self.vectors.itemsize, len(self.ids), self.vectors.shape[1], len(self.members), *(len(m) for m in self.members)]
+        parts = [np.array([len(head), *head], np.int64), self.ids.astype(np.int64), self.vectors]
         return b"".join(p.tobytes() for p in [*parts, *self.members, *self.links])
 
     @classmethod
@@ -122,15 +124,15 @@ class Graph:
             at += got.nbytes
             return got
 
-        n, width, levels, *sizes = (int(i) for i in take(int(take(1, np.int64)[0]), np.int64))
-        self.ids, self.vectors = take(n, np.int64), take(n * width, np.float32).reshape(n, width)
+        wide, n, width, _, *sizes = (int(i) for i in take(int(take(1, np.int64)[0]), np.int64))
+        self.ids, self.vectors = take(n, np.int64), take(n * width, np.float32 if wide == 4 else np.float64).reshape(n, width)
         self.members = [take(m, np.int32) for m in sizes]
         self.links = [take(m * (LOW_LINKS if i == 0 else LINKS), np.int32).reshape(m, -1) for i, m in enumerate(sizes)]
         return self
 
     def search(self, queries: np.ndarray, k: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
         """(place, inner product) of about the k best entries of each query; place -1 where there are fewer."""
-        q = queries.astype(np.float32)
+        q = queries.astype(self.vectors.dtype)
         top = len(self.members) - 1
         at = np.repeat(self.members[top][:1].astype(np.int64), len(q))
         best = np.einsum("nd,nd->n", q, self.vectors[at])
@@ -149,7 +151,7 @@ class Graph:
         seen = np.zeros((len(q), len(self.ids)), bool)
         seen[rows, at] = True
         place = np.full((len(q), width), -1, np.int64)
-        value = np.full((len(q), width), -np.inf, np.float32)
+        value = np.full((len(q), width), -np.inf, q.dtype)
         done = np.ones((len(q), width), bool)
         place[:, 0], value[:, 0], done[:, 0] = at, best, False
         while True:  # each active query opens its best entry that is not open yet
@@ -165,10 +167,10 @@ class Graph:
             fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
             r, c = np.nonzero(fresh)
             seen[active[r], near[r, c]] = True
-            found = np.full(near.shape, -np.inf, np.float32)
+            found = np.full(near.shape, -np.inf, q.dtype)
             found[r, c] = np.einsum("nd,nd->n", q[active[r]], self.vectors[near[r, c]])
             all_value = np.concatenate([value[active], found], 1)
-            all_place = np.concatenate([place[active], near], 1)
+            all_place = np.concatenate([place[active], np.where(fresh, near, -1)], 1)
             all_done = np.concatenate([done[active], ~fresh], 1)
             keep = np.argpartition(-all_value, width - 1, axis=1)[:, :width]
             value[active], place[active], done[active] = (np.take_along_axis(z, keep, 1) for z in (all_value, all_place, all_done))
@@ -186,11 +188,14 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = NEARE
     whose vector is empty, zero, holds null or non-finite components, or has another length than most. Every other row is
     indexed. Of rows with the same id any may stand for it. An empty table gives an empty result.
     """
-    whole = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    exact = np.float32 if kind == "array<float>" else np.float64
+    whole = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     fit = whole.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     widths = fit.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
     width = widths["w"] if widths else 0
-    normal = F.transform("v", lambda x: x + F.lit(0.0).cast("float"))  # -0.0 is 0.0
+    normal = F.transform("v", lambda x: x + F.lit(0.0).cast(kind[6:-1]))  # -0.0 is 0.0
     fit = cut(fit.where(F.size("v") == width).select("id", normal.alias("v")).withColumn("h", F.xxhash64("v")))
 
     entries = fit.groupBy("h").agg(F.min("id").alias("entry"))
@@ -213,7 +218,7 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = NEARE
         shard = rows["shard"].to_numpy()
         for s in np.unique(shard):
             own = rows.filter(pa.array(shard == s)).combine_chunks()
-            graph = Graph(own["entry"].to_numpy(), _matrix(own["v"].chunk(0), width).astype(np.float32))
+            graph = Graph(own["entry"].to_numpy(), _matrix(own["v"].chunk(0), width).astype(exact))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([graph.pack()], pa.binary())], ["shard", "graph"])
 
     index = cut(dealt.repartitionById(shards, F.col("shard")).mapInArrow(build, "shard int, graph binary"))
@@ -224,7 +229,7 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = NEARE
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("entry", F.lit(SEED)), F.lit(blocks)).cast("int")
     questions = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), "entry", "v", F.lit(None).cast("binary").alias("graph"))
-    graphs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("long").alias("entry"), F.lit(None).cast("array<float>").alias("v"), "graph")
+    graphs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("long").alias("entry"), F.lit(None).cast(kind).alias("v"), "graph")
 
     def walk(key: tuple, rows: pa.Table) -> pa.Table:
         packed = [g for g in rows["graph"].to_pylist() if g is not None]
