@@ -168,7 +168,8 @@ def _root(parent: list[int], i: int) -> int:
 
 
 def _forest(nodes: list[int], lone: list[bool], labels: list[int] | None, packed: list[bytes], threshold: float) -> tuple[list[int], list[int]]:
-    """Links that connect what is similar. With labels, only pairs of a lone member and one of another label count."""
+    """Links that connect what is similar: without labels, of every member to the least one of its part. With labels, only
+    pairs of a lone member and one of another label count."""
     group, n = _Group(packed), len(nodes)
     parent = list(range(n))
     if labels is not None:
@@ -185,6 +186,12 @@ def _forest(nodes: list[int], lone: list[bool], labels: list[int] | None, packed
                 parent[b] = a
                 us.append(nodes[i])
                 vs.append(nodes[j])
+    if labels is None and us:
+        parts: dict[int, list[int]] = {}
+        for i, node in enumerate(nodes):
+            parts.setdefault(_root(parent, i), []).append(node)
+        pairs = [(x, least) for part in parts.values() for least in [min(part)] for x in part if x != least]
+        us, vs = [u for u, _ in pairs], [v for _, v in pairs]
     return us, vs
 
 
@@ -214,6 +221,11 @@ def _verifier(threshold: float, labelled: bool):
     return verify
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in as many partitions as their number asks for, at most as many as there are."""
+    return df.coalesce(max(8, rows // 100_000))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of each node of an edge list (u, v): root is the least node of its component.
 
@@ -226,13 +238,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == last or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = state
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.distinct())
+        last, n = state, state[0]
+        both = _few(edges, n).union(_few(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), n))
+        least = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+        large = _few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
+        large = _few(large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), n)
+        low = _few(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        small = _few(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
+        edges = cut(_few(small.union(low.select("u", F.col("m").alias("v"))).distinct(), n))
 
 
 def _with_shingles(members: DataFrame, docs: DataFrame, spots: DataFrame) -> DataFrame:
