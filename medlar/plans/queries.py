@@ -13,6 +13,7 @@ from medlar.operators import checks, dedupe, dims, facts, kpi, rules
 from medlar.plans import features as feat
 from medlar.plans import forecasting as fc
 from medlar.plans import marts
+from medlar.plans import gold, silver
 from medlar.plans import registrar as R
 from medlar.sources import bronze, synthetic
 
@@ -241,6 +242,86 @@ def illegal_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return facts.illegal_transitions(rows, "student_id", "period_ordinal", "lvl").where("is_illegal").drop("is_illegal")
 
 
+def _landed(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrollment as text with noise, some of it landed twice."""
+    k = F.col("student_id") % 7
+    rows = R.enrollment(spark, sf)
+    text = rows.select(
+        F.col("student_id").cast("string").alias("student_id"), P.year_label(F.col("academic_year")).alias("academic_year"),
+        F.when(k == 0, P.semester_label(F.col("semester_number"))).when(k == 1, "term").otherwise(F.col("semester_number").cast("string")).alias("semester_number"),
+        F.col("college_id").cast("string").alias("college_id"), "program_id", F.when(k == 2, F.lower("enrollment_status")).when(k == 3, "ON LEAVE").otherwise(F.col("enrollment_status")).alias("enrollment_status"),
+        F.when(k == 4, F.concat("year_level", F.lit(".0"))).when(k == 5, "?").otherwise(F.col("year_level").cast("string")).alias("year_level"),
+        F.col("units_enrolled").cast("string").alias("units_enrolled"), F.col("is_new_enrollee").cast("string").alias("is_new_enrollee"), F.lit(1).alias("_ingested_at"),
+    )
+    return text.union(text.where("student_id % 10 = 0").withColumn("_ingested_at", F.lit(2)))
+
+
+@query(f"""WITH {R.SQL}, t AS (SELECT student_id % 7 AS k, student_id, 1 AS c FROM enr UNION ALL SELECT student_id % 7, student_id, 2 FROM enr WHERE student_id % 10 = 0)
+  SELECT count(*) AS rows, count(*) FILTER (k = 3) AS unknown_status, CAST(0 AS BIGINT) AS unknown_category, count(*) FILTER (k = 1) + count(*) FILTER (k = 5) AS coercion_failures,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT student_id, academic_year, CASE WHEN student_id % 7 = 1 THEN NULL ELSE semester_number END, program_id, CASE WHEN student_id % 7 = 3 THEN 'x' ELSE enrollment_status END,
+    CASE WHEN student_id % 7 = 5 THEN NULL ELSE year_level END, units_enrolled, is_new_enrollee FROM enr)) AS duplicates_dropped FROM t""")
+def clean_entity_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return silver.clean(_landed(spark, sf), "enrollment").stats
+
+
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    enrolled = R.enrollment(spark, sf).withColumn("enrollment_status", F.when(F.col("student_id") % 19 == 0, "UNKNOWN:X").otherwise(F.col("enrollment_status")))
+    enrolled = enrolled.withColumn("year_level", (1 + (F.col("student_id") * 7 + F.col("period_ordinal") * 3) % 4).cast("int")).drop("period_ordinal")
+    students = R.students(spark, sf).select("student_id", (F.lit(1995) + F.col("student_id") % 3).cast("int").alias("cohort_academic_year"))
+    events = enrolled.where("enrollment_status = 'DROPPED' AND student_id % 7 <> 0").select("student_id", "academic_year", "semester_number")
+    return silver.validate_enrollment(enrolled, students, events, R.CALENDAR)
+
+
+@query(f"""WITH {R.SQL}, t AS (SELECT student_id, period_ordinal, 1 + (student_id * 7 + period_ordinal * 3) % 4 AS lvl, CASE WHEN student_id % 19 = 0 THEN 'known_status'
+    WHEN period_ordinal < (student_id % 3) * 2 THEN 'cohort_range' WHEN enrollment_status = 'DROPPED' AND student_id % 7 = 0 THEN 'dropout_event' END AS r FROM enr),
+  s AS (SELECT *, lag(lvl) OVER w AS pl, lag(period_ordinal) OVER w AS po FROM t WHERE r IS NULL WINDOW w AS (PARTITION BY student_id ORDER BY period_ordinal)),
+  f AS (SELECT r FROM t WHERE r IS NOT NULL UNION ALL SELECT CASE WHEN po = period_ordinal - 1 AND (lvl < pl OR lvl > pl + 1) THEN 'progression' END FROM s)
+  SELECT r AS failed_rule, count(*) AS n FROM f GROUP BY 1""")
+def validation_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules in order; progression is judged on what passed the others."""
+    return rules.tally(_validated(spark, sf))
+
+
+@query(f"""WITH {R.SQL}, t AS (SELECT CASE WHEN NOT (academic_year BETWEEN 1995 AND 2000) THEN 'academic_year' WHEN e.college_id <> p.college_id + CASE WHEN student_id % 13 = 0 THEN 1 ELSE 0 END THEN 'program_college'
+    WHEN year_level > ceil(nominal_duration_years) + 2 THEN 'year_level' WHEN units_enrolled - 5 < 0 THEN 'non_negative' END AS r FROM enr e JOIN program p USING (program_id)),
+  n(i, rule) AS (VALUES (0, 'semester_number'), (1, 'academic_year'), (2, 'program_college'), (3, 'year_level'), (4, 'non_negative')),
+  j AS (SELECT coalesce(n.i, 5) AS i FROM t LEFT JOIN n ON n.rule = t.r)
+  SELECT rule, count(*) FILTER (j.i >= n.i) AS checked, count(*) FILTER (j.i = n.i) AS failed, coalesce(CAST(count(*) FILTER (j.i = n.i) AS DOUBLE) / nullif(count(*) FILTER (j.i >= n.i), 0), 0) AS share,
+  coalesce(CAST(count(*) FILTER (j.i = n.i) AS DOUBLE) / nullif(count(*) FILTER (j.i >= n.i), 0), 0) <= 0.25 AS passed FROM n, j GROUP BY 1""")
+def business_rule_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = R.enrollment(spark, sf).withColumn("college_id", F.col("college_id") - F.when(F.col("student_id") % 13 == 0, 1).otherwise(0)).withColumn("units_enrolled", F.col("units_enrolled") - 5)
+    programs = R.programs(spark, sf)
+    return rules.gate_report(*silver.business_rules("enrollment", rows, programs, R.colleges(spark, sf), P.Calendar(1995, 2000)))
+
+
+def _silver(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    enrolled = R.enrollment(spark, sf)
+    first = dedupe.latest_per_key(enrolled, ["student_id"], [F.col("period_ordinal")])
+    period = ["academic_year", "semester_number"]
+    student = first.select("student_id", F.lit(1995).alias("cohort_academic_year"), F.col("college_id").alias("entry_college_id"), F.col("program_id").alias("entry_program_id"), "gender", "admission_type", F.lit(None).cast("string").alias("home_province"), F.lit(None).cast("int").alias("birth_year"))
+    moved = R.shifts(enrolled).join(enrolled.select("student_id", "period_ordinal", *period), ["student_id", "period_ordinal"]).drop("period_ordinal")
+    ended = lambda s, *more: enrolled.where(F.col("enrollment_status") == s).select("student_id", *period, "college_id", "program_id", *more)
+    return {
+        "college": R.colleges(spark, sf).drop("college_key"), "program": R.programs(spark, sf).drop("program_key").withColumn("program_level", F.lit("Bachelor")), "student": student,
+        "enrollment": enrolled.drop("period_ordinal", "gender", "admission_type"), "shifter": moved, "graduation": ended("GRADUATED", F.lit(4.0).alias("years_to_complete")),
+        "dropout": ended("DROPPED", F.lit("unknown").alias("dropout_reason"), F.lit(0).alias("semesters_completed_before_dropout")),
+    }
+
+
+@query(f"""WITH {R.SQL} SELECT 'fact_enrollment' AS name, count(*) AS n FROM enr UNION ALL SELECT 'fact_graduation', count(*) FROM enr WHERE enrollment_status = 'GRADUATED'
+  UNION ALL SELECT 'fact_dropout', count(*) FROM enr WHERE enrollment_status = 'DROPPED' UNION ALL SELECT 'fact_shifter', count(*) FROM enr WHERE from_program_id <> program_id
+  UNION ALL SELECT 'fact_retention', count(*) FROM enr WHERE enrollment_status <> 'GRADUATED' AND period_ordinal < 13
+  UNION ALL SELECT 'fact_institution_kpi', count(*) FROM (SELECT DISTINCT college_id, period_ordinal FROM enr) UNION ALL SELECT 'dim_student', count(*) FROM spell""")
+def star_schema_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole star schema, reconciled by row counts."""
+    made = gold.build(spark, _silver(spark, sf), R.CALENDAR)
+    whole = None
+    for name in ("fact_enrollment", "fact_graduation", "fact_dropout", "fact_shifter", "fact_retention", "fact_institution_kpi", "dim_student"):
+        one = made[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        whole = one if whole is None else whole.union(one)
+    return whole
+
+
 # --- dimensions and facts ---
 
 
