@@ -31,14 +31,22 @@ UNITS = (
     "usd eur dollar dollars euro euros cent cents percent mph kmh degree degrees celsius fahrenheit kelvin volt volts watt watts joule joules"
 )
 
-_NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
+# Numerals.
+NUMERALS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million"
+)
+
+_NUMERAL = rf"(?<![\p{{L}}\p{{M}}#@%])(?:{NUMERALS.replace(' ', '|')})(?![\p{{L}}\p{{M}}])"
+#: Digits or a numeral; further numerals belong to the same number.
+_NUMBER = rf"(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|{_NUMERAL})(?:[ -]{_NUMERAL})*"
 #: A capitalised word after a letter, digit or comma and a blank: not at a sentence's start. A run counts as its first.
 _NAME = r"(\p{Lu}(?<=[\p{L}\p{Nd},;] .)\p{Ll}+)(?: \p{Lu}\p{Ll}+)*"
 
 
 #: What stands between tokens; full stops, commas, colons and strokes before a digit don't.
 _GAP = r"(?:[^\p{L}\p{M}\p{Nd}#@%.,:/]|[.,:/](?!\p{Nd}))+"
-_SLOT = r"([#@%])(?:(?<=#)[\p{Nd}.,:/]+|(?<=[@%])\p{L}+)"
+_SLOT = r"([#@%])(?:(?<=#)[\p{Nd}.,:/]+|\p{L}+)"
 
 
 def template(text: Column, values: bool = False) -> Column:
@@ -46,8 +54,8 @@ def template(text: Column, values: bool = False) -> Column:
     it if ``values``."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), "[#@%]", " ")
     text = F.regexp_replace(text, _NAME, "@$1")
-    text = F.regexp_replace(text, _NUMBER, " #$0 ")
-    text = F.regexp_replace(F.lower(text), rf"(#[^ ]+ ) ?({UNITS.replace(' ', '|')})(?![\p{{L}}\p{{M}}])", "$1%$2")
+    text = F.regexp_replace(F.lower(text), _NUMBER, " #$1 ")
+    text = F.regexp_replace(text, rf"(#[^ ]+ ) ?({UNITS.replace(' ', '|')})(?![\p{{L}}\p{{M}}])", "$1%$2")
     if not values:
         text = F.regexp_replace(text, _SLOT, "$1")
     return F.array_remove(F.split(text, _GAP), "")

@@ -23,9 +23,14 @@ def test_template(spark):
     assert row["b"][3] == "#3.5"
     assert row["b"][9] == "%km"
     assert len(row["a"]) == len(row["b"])
+    df = spark.createDataFrame([("Twenty-five men, one hundred thousand 3/4 cups and Bone stones",)], "t string")
+    row = df.select(D.template(F.col("t")).alias("a"), D.template(F.col("t"), values=True).alias("b")).first()
+    assert row["a"] == ["#", "men", "#", "#", "%", "and", "@", "stones"]
+    assert row["b"] == ["#twenty", "men", "#one", "#3/4", "%cups", "and", "@bone", "stones"]
 
 
 def test_new_numbers_and_names_are_caught_if_consistent(spark):
+    assert set(found(spark, [(1, "A train leaves the old town at seven and runs thirty miles in two hours.")], [(1, "A train leaves the old town at nine and runs 45 miles in three hours.")])) == {(1, 1)}
     other = "x y. Then Bob has 7 apples, and Eve bought 4 miles of rope for 30 euros. How many apples does old {} have? z"
     got = found(spark, [(1, ITEM), (2, other.format("Bob")), (3, other.format("Carl")), (4, "Nothing of this kind is in here at all, as far as one can see.")], [(10, ITEM)])
     assert set(got) == {(1, 10), (2, 10)}
