@@ -335,3 +335,22 @@ def _without(docs: DataFrame, ident: Column, classes: DataFrame) -> DataFrame:
     if more.count() <= BROADCAST_ROWS:
         more = F.broadcast(more)
     return docs.join(more, ident == F.col("__more"), "left_anti")
+
+
+#: All pairs of documents with a shingle in common, and the closure of links: for small tables only.
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c)
+), reach AS (
+  SELECT x, y FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(reach.y), d.doc_id)) AS class_id FROM documents d LEFT JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id
+"""

@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlar.llm import mixing
+from medlar.llm import mixing, near_duplicates
 from medlar.llm.decontamination import decontamination_matches
 from medlar.llm.importance import importance_sample
 from medlar.llm.language import language_report
 from medlar.llm.lm_scoring import lm_scores
-from medlar.llm.near_duplicates import near_duplicate_classes
 from medlar.llm.nearest import nearest_by_inner_product
 from medlar.llm.shared import table
 from medlar.llm.sharding import shuffled_shards, text_size
@@ -25,7 +24,7 @@ def op1_decontamination_templates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_near_duplicates_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing_sainte_lague": mixing.ORACLE}
+    return {"op2_near_duplicates_probminhash": near_duplicates.ORACLE, "op9_mixing_sainte_lague": mixing.ORACLE}
