@@ -33,6 +33,8 @@ BLOCK = 256
 HUBS = 8
 #: Ids up to this number are broadcast, 16 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Links from which both sides of a graph's joins are dealt anew, so that adaptive execution can split a hub's.
+MANY_LINKS = 2_000_000
 
 _U = np.uint64
 _STEPS = np.array([pow(0xD1342543DE82EF95, k + 1, 2**64) for k in range(SHINGLE)], dtype=_U)
@@ -239,11 +241,12 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last, n = state, state[0]
+        anew = cut if n > MANY_LINKS else lambda df: df
         both = _few(edges, n).union(_few(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), n))
-        least = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+        least = anew(_few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n))
         large = _few(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
         large = _few(large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), n)
-        low = _few(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        low = anew(_few(large.groupBy("u").agg(F.min("v").alias("m")), n))
         small = _few(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")), n)
         edges = cut(_few(small.union(low.select("u", F.col("m").alias("v"))).distinct(), n))
 
@@ -312,6 +315,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     least = linked.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = linked.join(least, "root").select("node", "check", "class_id")
     classes = texts.join(classes, ["node", "check"], "left").select("node", "check", F.coalesce("class_id", "least").alias("class_id"))
+    classes = cut(classes)  # dealt anew with the rows, so that adaptive execution can split a large group of copies
     known = marked.select("id", "node", "check").join(classes, ["node", "check"]).select(F.col("id").alias("doc_id"), "class_id")
     unread = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
     return known.union(unread)

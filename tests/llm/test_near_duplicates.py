@@ -79,7 +79,9 @@ def test_registers_agree_as_often_as_texts_are_similar():
     assert (sig[0] == sig[1]).mean() == pytest.approx(expected, abs=0.04)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("many", [1, 10**9])
+def test_components(spark, monkeypatch, many):
+    monkeypatch.setattr(ND, "MANY_LINKS", many)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 99), (99, 98), (5, 5)]
     got = {r["node"]: r["root"] for r in ND.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in range(2, 61)}, 99: 98, 100: 98}
