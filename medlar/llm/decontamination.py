@@ -31,6 +31,8 @@ UNITS = (
     "usd eur dollar dollars euro euros cent cents percent mph kmh degree degrees celsius fahrenheit kelvin volt volts watt watts joule joules"
 )
 
+# Patterns repeat groups possessively: Java's matcher then loops, where it would recurse over a long text.
+
 # Numerals.
 NUMERALS = (
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
@@ -39,13 +41,13 @@ NUMERALS = (
 
 _NUMERAL = rf"(?<![\p{{L}}\p{{M}}#@%])(?:{NUMERALS.replace(' ', '|')})(?![\p{{L}}\p{{M}}])"
 #: Digits or a numeral; further numerals belong to the same number.
-_NUMBER = rf"(\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*|{_NUMERAL})(?:[ -]{_NUMERAL})*"
+_NUMBER = rf"(\p{{Nd}}++(?:[.,:/]\p{{Nd}}++)*+|{_NUMERAL})(?:[ -]{_NUMERAL})*+"
 #: A capitalised word after a letter, digit or comma and a blank: not at a sentence's start. A run counts as its first.
-_NAME = r"(\p{Lu}(?<=[\p{L}\p{Nd},;] .)\p{Ll}+)(?: \p{Lu}\p{Ll}+)*"
+_NAME = r"(\p{Lu}(?<=[\p{L}\p{Nd},;] .)\p{Ll}++)(?: \p{Lu}\p{Ll}++)*+"
 
 
 #: What stands between tokens; full stops, commas, colons and strokes before a digit don't.
-_GAP = r"(?:[^\p{L}\p{M}\p{Nd}#@%.,:/]|[.,:/](?!\p{Nd}))+"
+_GAP = r"(?:[^\p{L}\p{M}\p{Nd}#@%.,:/]|[.,:/](?!\p{Nd}))++"
 _SLOT = r"([#@%])(?:(?<=#)[\p{Nd}.,:/]+|\p{L}+)"
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from medlar.llm import decontamination as D
@@ -29,6 +30,13 @@ def test_template(spark):
     assert row["b"] == ["#twenty", "men", "#one", "#3/4", "%cups", "and", "@bone", "stones"]
 
 
+@pytest.mark.parametrize("piece", ["Les ", "!", "1,", "one ", "1.", "-", "5 km ", "a", "A", "é", "@", "# ", "Ab Cd. "])
+def test_long_runs(spark, piece):
+    df = spark.createDataFrame([("x Y " + piece * 100_000 + " z",)], "t string")
+    row = df.select(F.size(D.template(F.col("t"))).alias("a"), F.size(D.template(F.col("t"), values=True)).alias("b")).first()
+    assert row["a"] == row["b"] > 0
+
+
 def test_new_numbers_and_names_are_caught_if_consistent(spark):
     assert set(found(spark, [(1, "A train leaves the old town at seven and runs thirty miles in two hours.")], [(1, "A train leaves the old town at nine and runs 45 miles in three hours.")])) == {(1, 1)}
     other = "x y. Then Bob has 7 apples, and Eve bought 4 miles of rope for 30 euros. How many apples does old {} have? z"
