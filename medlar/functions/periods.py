@@ -86,3 +86,16 @@ def level_of_cohort(year: Column, cohort_year: Column, most: int = 6) -> Column:
 
 def model_version(series: Column, metric: Column, trained_at: Column) -> Column:
     return F.concat_ws("_", series, metric, F.date_format(trained_at, "yyyyMMdd'T'HHmmss'Z'"))
+
+
+def partition_part(key: Column, name: str) -> Column:
+    """A part of a partition key such as academic_year=2021/semester=1."""
+    return F.nullif(F.regexp_extract(key, rf"(?:^|/){name}=([^/]+)", 1), F.lit(""))
+
+
+def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:
+    """The broken line through the points, flat outside them."""
+    line = F.when(x <= points[0][0], points[0][1])
+    for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+        line = line.when(x <= x1, y0 + (x - x0) * ((y1 - y0) / (x1 - x0)))
+    return line.otherwise(points[-1][1])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlar.functions import periods as P
+from medlar.operators import checks
 
 
 def labelled_kpi(kpi: DataFrame, college: DataFrame, period: DataFrame) -> DataFrame:
@@ -73,6 +74,24 @@ def canonical(enrolled: DataFrame, shifted: DataFrame, college: DataFrame, progr
     return whole.select(*key, "year_level", "freshmen_count", nothing.alias("applicants"), nothing.alias("accepted"), "enrolled", *counts)
 
 
+# Columns of the canonical mart.
+CANONICAL = (
+    "academic_year", "semester", "college", "program", "gender", "year_level", "freshmen_count", "applicants", "accepted", "enrolled", "graduates", "dropouts", "shifters"
+)
+
+
+def canonical_violations(df: DataFrame) -> DataFrame:
+    """(check, violations) of the canonical mart's contract; raises if its columns are not exactly those."""
+    differences = checks.schema_differences(df, CANONICAL)
+    if differences["missing"] or differences["extra"]:
+        raise ValueError(f"columns: {differences}")
+    wanted = [
+        checks.matches("academic_year", r"^\d{4}-\d{4}$"), checks.accepted_values("semester", list(P.SEMESTER_LABELS.values())),
+        checks.accepted_values("year_level", [*P.LEVEL_LABELS.values(), P.LAST_LEVEL_LABEL]), *[checks.not_null(c) for c in CANONICAL[:6]], *[checks.in_range(c, 0) for c in CANONICAL[6:]],
+    ]
+    return checks.violations(df, wanted)
+
+
 def chronological(df: DataFrame, year: str, semester: str) -> DataFrame:
     """Sorted by label columns in order of time."""
     return df.orderBy(P.start_year(F.col(year)), P.semester_rank(F.col(semester)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from medlar.functions import normalize as N
 from medlar.functions import periods as P
 from medlar.operators import checks, dedupe, dims, facts, kpi, rules
+from medlar.plans import dashboard, reports
 from medlar.plans import features as feat
 from medlar.plans import forecasting as fc
 from medlar.plans import marts
@@ -661,9 +662,50 @@ def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.latest_per_key(_program_counts(spark, sf), ["program_id"], [F.desc("period_ordinal")]).select("program_id", "period_ordinal", "enrollment_count")
 
 
+@query(f"WITH {R.SQL} SELECT college_id, period_ordinal, success_rate FROM kpi WHERE college_id = 2 AND period_ordinal >= 0")
+def dashboard_history(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.history(_kpi(spark, sf), "period_ordinal", college_id=2).select("college_id", "period_ordinal", "success_rate")
+
+
+@query(f"WITH {R.SQL} SELECT college_id, success_rate FROM kpi WHERE period_ordinal = (SELECT max(period_ordinal) FROM kpi)")
+def dashboard_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.ranking(_kpi(spark, sf), "period_ordinal", "success_rate", "college_id").select("college_id", "success_rate")
+
+
+@query(f"""{_REGISTRY} SELECT p.program_id, r.model_version, CAST(program_key AS DOUBLE) AS yhat, trained_at, mae, is_champion, program_name FROM program p
+  JOIN registry r ON p.program_id = r.program_id AND r.model_version LIKE '%200102%'""")
+def dashboard_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecast, registry entry and program."""
+    registry, programs = _registry(spark, sf), R.programs(spark, sf)
+    forecasts = registry.where("model_version LIKE '%200102%'").join(programs, "program_id").select("program_id", "model_version", F.col("program_key").cast("double").alias("yhat"))
+    made = dashboard.provenance(forecasts, registry, programs.select("program_id", "program_name"), ["program_id"])
+    return made.select("program_id", "model_version", "yhat", "trained_at", "mae", "is_champion", "program_name")
+
+
+@query(f"WITH {R.SQL} SELECT DISTINCT academic_year, semester_number FROM enr")
+def dashboard_choices(spark: SparkSession, sf: str) -> DataFrame:
+    return dashboard.choices(R.enrollment(spark, sf), "academic_year", "semester_number")
+
+
 # --- constraints ---
 
 
+@query("""SELECT 'matches:academic_year' AS check, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'accepted_values:semester', 0 UNION ALL SELECT 'accepted_values:year_level', 0
+  UNION ALL SELECT 'not_null:' || c, 0 FROM (VALUES ('academic_year'), ('semester'), ('college'), ('program'), ('gender'), ('year_level')) v(c)
+  UNION ALL SELECT 'in_range:' || c, 0 FROM (VALUES ('freshmen_count'), ('applicants'), ('accepted'), ('enrolled'), ('graduates'), ('dropouts'), ('shifters')) v(c)""")
+def canonical_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """The canonical mart keeps its contract."""
+    return marts.canonical_violations(mart_canonical(spark, sf))
+
+
+@query("""SELECT 'college_id_unique' AS check, 'OK' AS status, CAST(0 AS BIGINT) AS found UNION ALL SELECT 'program_id_unique', 'OK', 0
+  UNION ALL SELECT 'program_college', CASE WHEN count(*) = 0 THEN 'OK' ELSE 'ATTENTION' END, count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 4)""")
+def reference_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    colleges = R.read(spark, sf, "region").where("r_regionkey < 4").select(F.col("r_regionkey").alias("college_id"))
+    programs = R.read(spark, sf, "nation").select(F.col("n_nationkey").alias("program_id"), F.col("n_regionkey").alias("college_id"))
+    return reports.reference_integrity(colleges, programs)
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def constraint_unique(spark: SparkSession, sf: str) -> DataFrame:
     return checks.not_unique(R.read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

@@ -63,6 +63,14 @@ class RunLog:
         row = (stage, entity, partition, status, batch_id, rows, message, started or now, None if status == "RUNNING" else now)
         self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("append").parquet(self.path)
 
+    def append_once(self, stage: str, entity: str, partition: str, **values) -> bool:
+        """Append a success unless the unit has one; every batch of a unit that is forced again is logged by ``append``."""
+        known = self.succeeded().where((F.col("stage") == stage) & (F.col("entity") == entity) & (F.col("partition_key") == partition))
+        if not known.isEmpty():
+            return False
+        self.append(stage, entity, partition, "SUCCESS", **values)
+        return True
+
     def succeeded(self) -> DataFrame:
         return self.read().where("status = 'SUCCESS'").select("stage", "entity", "partition_key", "batch_id").distinct()
 

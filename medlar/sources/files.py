@@ -115,6 +115,11 @@ def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/versions/{version}/{name}")
 
 
+def save_table(df: DataFrame, name: str) -> None:
+    """A table of the session's catalog, replaced as a whole; queries read it by name."""
+    df.write.mode("overwrite").saveAsTable(name)
+
+
 def write_partitioned_csv(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.write.partitionBy(*by).option("header", True).csv(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from medlar.functions.periods import Calendar
 from medlar.operators import checks, rules
-from medlar.plans import deploy, run, silver
+from medlar.plans import deploy, reports, run, silver
 from medlar.plans import forecasting as fc
 from medlar.sources import files
 
@@ -96,6 +96,11 @@ def test_whole_way(spark, tmp_path):
     root = str(tmp_path)
     extracts = run.source(spark, CAL, 60)
     assert json.loads(run.manifest(extracts, 42))["rows"]["student"] == 360
+    found = {r["check"]: r["found"] for r in reports.pre_ingestion(extracts, CAL).collect()}
+    assert found["enrollment_repeated_rows"] > 0
+    assert found["enrollment_columns"] == found["enrollment_orphans"] == found["uncovered_periods"] == found["illegal_transitions"] == 0
+    assert reports.weights_problem({"a": 0.5, "b": 0.5}, {"a", "b"}) is None
+    assert reports.weights_problem({"a": 0.5}, {"a"})
     log = run.land(spark, root, extracts)
     assert {r["status"] for r in log.tally().collect()} == {"SUCCESS"}
     run.land(spark, root, extracts)

@@ -211,3 +211,25 @@ def test_weighted_average(spark):
 def test_chronological_order(spark):
     df = spark.createDataFrame([("2022-2023", "1st Semester"), ("2021-2022", "2nd Semester"), ("2021-2022", "1st Semester")], "y string, s string")
     assert [tuple(r) for r in marts.chronological(df, "y", "s").collect()] == [("2021-2022", "1st Semester"), ("2021-2022", "2nd Semester"), ("2022-2023", "1st Semester")]
+
+
+def test_partition_part(spark):
+    key = F.lit("academic_year=2021-2022/semester=1")
+    assert one(spark, P.partition_part(key, "academic_year")) == "2021-2022"
+    assert one(spark, P.partition_part(key, "semester")) == "1"
+    assert one(spark, P.partition_part(key, "year")) is None
+
+
+@pytest.mark.parametrize(("x", "y"), [(0, 1.0), (1, 1.0), (2, 2.0), (4, 4.0), (9, 4.0)])
+def test_interpolate(spark, x, y):
+    assert one(spark, P.interpolate(F.lit(float(x)), [(1, 1.0), (3, 3.0), (4, 4.0)])) == y
+
+
+def test_canonical_contract_names_what_is_wrong(spark):
+    row = ("2021-22", "Summer", "C", "P", "Female", None, -1, None, None, 3, 0, 0, 0)
+    kinds = ["string"] * 6 + ["int"] * 7
+    df = spark.createDataFrame([row], ", ".join(f"{c} {k}" for c, k in zip(marts.CANONICAL, kinds, strict=True)))
+    broken = {r["check"] for r in marts.canonical_violations(df).where("violations > 0").collect()}
+    assert broken == {"matches:academic_year", "accepted_values:semester", "not_null:year_level", "in_range:freshmen_count"}
+    with pytest.raises(ValueError, match="missing"):
+        marts.canonical_violations(df.drop("gender"))

@@ -41,6 +41,19 @@ def test_ingest_failures_are_logged(spark, tmp_path):
     assert log.read().where("status = 'RUNNING' AND completed_at IS NULL").count() == 1
 
 
+def test_append_once(spark, tmp_path):
+    log = bronze.RunLog(spark, str(tmp_path / "log"))
+    assert [log.append_once("silver", "e", "p", rows=3), log.append_once("silver", "e", "p")] == [True, False]
+    assert log.read().count() == 1
+
+
+def test_catalog_table(spark):
+    files.save_table(spark.range(3), "medlar_test")
+    files.save_table(spark.range(5), "medlar_test")
+    assert spark.sql("SELECT count(*) AS n FROM medlar_test").first()["n"] == 5
+    spark.sql("DROP TABLE medlar_test")
+
+
 def test_csv(spark, tmp_path):
     folder = tmp_path / "2021" / "1"
     folder.mkdir(parents=True)
