@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medlar.llm.shared import chunks, fold, free_name, mix64, span_hashes, spans, text_bytes
 
@@ -220,16 +221,17 @@ def fit(docs: DataFrame, rows: Column | None = None, per_language: int = ROWS_PE
     """Train on documents with a language and send the model to the executors.
 
     ``docs`` needs doc_id, text and lang; ``rows`` restricts what is learned from. Of each language about
-    ``per_language`` documents are used, chosen by a seeded hash of id and text, and of these whole texts up to
-    ``most_bytes`` together; the model's size is fixed. Null texts and languages are not used.
+    ``per_language`` documents are used, chosen by a seeded hash of id and text, equal texts once, and of these whole texts
+    up to ``most_bytes`` together; the model's size is fixed. Null texts and languages are not used, nor languages beyond
+    the 1,000 most frequent.
     """
     known = docs.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
     if rows is not None:
         known = known.where(rows)
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
-    drawn = known.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < per_language * 1_000_000)
-    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000))
+    drawn = known.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < per_language * 1_000_000).select("text", "lang").dropDuplicates()
+    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "text"), "text", "lang").rowsBetween(Window.unboundedPreceding, 0)
     drawn = drawn.withColumn("bytes", F.octet_length("text")).withColumn("sum", F.sum("bytes").over(order)).where(F.col("sum") <= most_bytes)
     got = drawn.select("text", "lang").toArrow()
     model = LanguageField.fit(got["text"].combine_chunks() if len(got) else pa.array([], pa.string()), got["lang"].to_pylist())
@@ -241,8 +243,8 @@ def with_language(docs: DataFrame, model: Broadcast, text: str = "text", name: s
     nothing was learned), score (share of the posteriors), words and switched (words that another language is likelier
     for). If ``docs`` has a column called ``name``, the new one gets underscores at its end."""
     name = free_name(docs, name)
-    kind = "struct<lang: string, score: double, words: long, switched: long>"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` {kind}"
+    kind = T.StructType.fromDDL("lang string, score double, words long, switched long")
+    fields = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = np.array([*model.value.languages, UND], object)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medlar.llm.shared import free_name
 
@@ -118,7 +119,7 @@ def with_token_counts(docs: DataFrame, path: str, pattern: str, text: str = "tex
     """
     table = frequent_lengths(docs.select(F.col(text).alias("text")), path, pattern)
     name = free_name(docs, name)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` long"
+    fields = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lengths = Encoder.of(path, pattern), table.value

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medlar.llm.shared import chunks, cut, fold, free_name, span_hashes, spans, text_bytes
 
@@ -269,7 +270,7 @@ def with_score(docs: DataFrame, model: Broadcast, text: str = "text", name: str
     ``name``, the new one gets underscores at its end.
     """
     name = free_name(docs, name)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` double"
+    fields = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
