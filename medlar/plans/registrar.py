@@ -63,6 +63,7 @@ def enrollment(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("o_orderpriority", 1, 1).alias("kind"), _case(F.col("o_orderstatus"), STATUS).alias("enrollment_status"),
         F.floor(F.col("o_totalprice") / 1000).cast("int").alias("units_enrolled"), "o_orderdate", "o_orderkey",
     )
+    orders = orders.repartition("student_id")  # the one shuffle of orders: everything below is by student
     last = latest_per_key(orders, ["student_id", "period_ordinal"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
     known = last.join(students(spark, sf_dir).select("student_id", "college_id", "gender", "admission_type"), "student_id")
     turn = F.row_number().over(Window.partitionBy("student_id").orderBy("period_ordinal"))
