@@ -15,8 +15,9 @@ from medlar.llm.shared import cut
 
 SHARDS = 8
 SEED = 7
-#: Bytes of text in a bucket, about: a task holds a few times as much. More of them than 100,000 ask for larger ones.
-BUCKET_BYTES = 32 << 20
+#: Bytes of text in a bucket, about: a task holds a few times as much. From FINE buckets on they grow, up to the larger size.
+BUCKET_BYTES = (16 << 20, 256 << 20)
+FINE = 20_000
 #: Buckets up to this number are broadcast with their offsets, 16 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -26,7 +27,14 @@ def text_size(text) -> F.Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def bucket_count(total: int, shards: int, bucket_bytes: int | None = None) -> int:
+    """How many buckets ``total`` bytes are scattered into: a shard has at least one."""
+    least, most = BUCKET_BYTES
+    size = bucket_bytes or min(most, max(least, total // FINE))
+    return max(shards, -(-total // size))
+
+
+def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int | None = None) -> DataFrame:
     """``docs``, which needs doc_id and text, with a struct column ``place`` more: bucket, shard and slot.
 
     Slots of a shard are gapless from 0, and shards' counts are at most one apart (with fewer rows than shards the rest
@@ -35,7 +43,7 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buc
     """
     columns = [c for c in docs.columns if c.lower() != "place"]
     total = docs.agg(F.sum(text_size(F.col("text")))).first()[0] or 0
-    buckets = max(shards, -(-total // bucket_bytes))
+    buckets = bucket_count(total, shards, bucket_bytes)
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
     bucket = F.pmod(key, F.lit(buckets)).cast("int")
     counts = cut(docs.select(bucket.alias("b")).groupBy("b").agg(F.count("*").alias("n")))

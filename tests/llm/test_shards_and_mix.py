@@ -26,6 +26,13 @@ def test_shards_hold_every_row_once_and_are_level(documents, size):
     assert 400 < rising < 600
 
 
+def test_buckets_grow_with_the_data_up_to_what_memory_holds():
+    assert sharding.bucket_count(0, 8) == 8
+    assert sharding.bucket_count(10 << 30, 8) == 640
+    assert sharding.bucket_count(1 << 40, 8) <= sharding.FINE + 1
+    assert sharding.bucket_count(100 << 40, 8) == (100 << 40) // (256 << 20)
+
+
 def test_written_shards(documents, tmp_path, spark):
     path = str(tmp_path / "shards")
     sharding.write_shards(documents, path)
