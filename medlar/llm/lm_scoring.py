@@ -103,7 +103,7 @@ class Scorer:
             yield self._run(held)
 
     def _pieces(self, col: pa.Array) -> Iterator[tuple]:
-        floor = np.log10(self.total + 0.5 * (self.distinct + 1)) if self.total else 0.0
+        floor = np.log10(self.total + 0.5 * (self.distinct + 1))
         end = np.log10(self.ends + 0.5)
         for a, b, counts, word, sort in _texts(col):
             count, output = self.lookup(word, sort)
@@ -116,15 +116,13 @@ class Scorer:
             share = np.bincount(owner, np.where(spread, heavy - self.rest[sort], 0), b - a)
             tokens = np.full(len(word) + b - a, END, np.int32)
             tokens[np.arange(len(word)) + owner] = output
-            n = max(int(word.max()) if len(word) else 0, 1)
-            pair = np.stack([owner[rare].astype(_U), word[rare]], 1) if n else None
-            order = np.lexsort((pair[:, 1], pair[:, 0]))
-            pair = pair[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]).any(1)
+            whose, rest = owner[rare], word[rare]
+            order = np.lexsort((rest, whose))
+            whose, rest = whose[order], rest[order]
+            new = np.ones(len(rest), bool)
+            new[1:] = (rest[1:] != rest[:-1]) | (whose[1:] != whose[:-1])
             at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(pair)))
-            yield tokens, counts + 1, base, known, share, pair[at, 0].astype(np.int64), pair[at, 1], times
+            yield tokens, counts + 1, base, known, share, whose[at], rest[at], np.diff(np.append(at, len(rest)))
 
     def _run(self, held: list[tuple]) -> dict[str, np.ndarray]:
         tokens, counts, base, known, share = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])

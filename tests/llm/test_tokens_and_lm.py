@@ -121,3 +121,12 @@ def test_score_edges(edge, none):
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (3, 4, 5)} == {1}
     check_scores(edge, rows)
     assert lm_scoring.lm_scores(none).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
+    df = spark.createDataFrame([(i, "a b a") for i in ids], "doc_id long, text string")
+    rows = lm_scoring.lm_scores(df).collect()
+    check_scores(df, rows)
+    assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in rows} == {(0, 0, 0.0)}
+    assert all(math.isfinite(r["score"]) for r in rows)
