@@ -597,8 +597,8 @@ def _registry(spark: SparkSession, sf: str) -> DataFrame:
     version = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("version")
     made = R.programs(spark, sf).select("program_id", "program_key", version)
     return made.select(
-        "program_id", P.model_version(F.col("program_id"), F.lit("enrollment"), F.expr("make_timestamp(2001, version, 1, 0, 0, 0)")).alias("model_version"),
-        F.expr("make_timestamp(2001, version, 1, 0, 0, 0)").alias("trained_at"), (F.pmod(F.col("program_key") * 7 + F.col("version"), F.lit(10)) + 0.5).cast("double").alias("mae"),
+        "program_id", P.model_version(F.col("program_id"), F.lit("enrollment"), F.expr("make_timestamp_ntz(2001, version, 1, 0, 0, 0)")).alias("model_version"),
+        F.expr("make_timestamp_ntz(2001, version, 1, 0, 0, 0)").alias("trained_at"), (F.pmod(F.col("program_key") * 7 + F.col("version"), F.lit(10)) + 0.5).cast("double").alias("mae"),
         (F.col("version") == 2).alias("is_champion"), (9 + F.col("version")).cast("int").alias("trained_to"),
     )
 
