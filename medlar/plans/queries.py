@@ -16,7 +16,7 @@ from medlar.plans import forecasting as fc
 from medlar.plans import marts
 from medlar.plans import gold, silver
 from medlar.plans import registrar as R
-from medlar.sources import bronze, synthetic
+from medlar.sources import bronze, files, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -769,13 +769,7 @@ def bronze_audit(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def ingest_idempotent_twice(spark: SparkSession, sf: str) -> DataFrame:
     """What is landed after two runs over the same source is what one run lands."""
-    import tempfile
-    import uuid
-
-    from medlar.sources import files
-
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="medlar-")
-    root = f"{folder}/landing-{uuid.uuid4().hex}"
+    root = files.scratch(spark)
     log = bronze.RunLog(spark, f"{root}/log")
     columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
     orders = R.read(spark, sf, "orders").select(*columns)

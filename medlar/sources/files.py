@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -22,6 +23,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or in local mode a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="medlar-")
+    return f"{folder}/scratch-{uuid.uuid4().hex}"
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _fs(spark, path)
     fs.delete(where, True)
