@@ -190,7 +190,7 @@ class LanguageField:
                 inner[np.cumsum(words.counts)[words.counts > 0] - 1] = False
                 here = np.flatnonzero(inner)
                 seen = np.bincount(label[here] * k + label[here + 1], minlength=k * k).reshape(k, k)
-                g = (seen - _pair_mass(words.counts, model, words, here)) / len(label) - 1e-3 * model.transition
+                g = (seen - pair_mass(p[here], p[here + 1], model.transition)) / len(label) - 1e-3 * model.transition
                 square_t += g**2
                 model.transition += 0.3 * g / np.sqrt(square_t)
         return model
@@ -203,18 +203,17 @@ class LanguageField:
             yield a, b, words.counts, posteriors(words.counts, self.emission(words)[words.word], self.transition)
 
 
-def _pair_mass(counts: np.ndarray, model: LanguageField, words: Words, here: np.ndarray) -> np.ndarray:
-    """Expected transitions: P(label, next label | text) summed over neighbours, from messages of the whole chain."""
-    emission = model.emission(words)[words.word]
-    k = emission.shape[1]
-    p = posteriors(counts, emission, model.transition)
-    step = np.exp(model.transition - model.transition.max())
-    # P(x, y) is proportional to P(x) step(x, y) b(y) where b makes its column sums P(y); one scaling fits it
-    joint = p[here][:, :, None] * step[None] * p[here + 1][:, None, :]
+def pair_mass(one: np.ndarray, two: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Sums of P(label, next label | text) over neighbouring words, from the posteriors of both.
+
+    A pair's joint distribution has the two posteriors as its margins and the transitions' ratios inside, so it is found by
+    scaling rows and columns in turn.
+    """
+    joint = one[:, :, None] * np.exp(transition - transition.max())[None] * two[:, None, :]
     for _ in range(3):
-        joint *= (p[here] / np.maximum(joint.sum(2), 1e-300))[:, :, None]
-        joint *= (p[here + 1] / np.maximum(joint.sum(1), 1e-300))[:, None, :]
-    return joint.sum(0).reshape(k, k)
+        joint *= (one / np.maximum(joint.sum(2), 1e-300))[:, :, None]
+        joint *= (two / np.maximum(joint.sum(1), 1e-300))[:, None, :]
+    return joint.sum(0)
 
 
 def fit(docs: DataFrame, rows: Column | None = None, per_language: int = ROWS_PER_LANGUAGE, most_bytes: int = BYTES, seed: int = 6) -> Broadcast:

@@ -101,6 +101,22 @@ def test_posteriors_against_the_plain_recursion():
         at += n
 
 
+def test_pairs_of_neighbours_against_the_plain_recursion():
+    rng = np.random.default_rng(7)
+    n, k = 9, 3
+    emission, transition = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+    every = np.array(np.meshgrid(*[range(k)] * n, indexing="ij")).reshape(n, -1)
+    score = sum(emission[t, every[t]] for t in range(n)) + sum(transition[every[t], every[t + 1]] for t in range(n - 1))
+    # the chain's start takes a step from a uniform label
+    score = score + np.log(np.exp(transition).sum(0))[every[0]]
+    weight = np.exp(score - score.max())
+    expected = np.zeros((k, k))
+    for t in range(n - 1):
+        np.add.at(expected, (every[t], every[t + 1]), weight / weight.sum())
+    p = language.posteriors(np.array([n]), emission, transition)
+    np.testing.assert_allclose(language.pair_mass(p[:-1], p[1:], transition), expected, rtol=0.02)
+
+
 def test_code_switched_text_is_labelled_by_word():
     de, en = "der und die ung keit schon", "the and thing tion was with"
     model = language.LanguageField.fit(pa.array([de * 3, en * 3] * 60), ["de", "en"] * 60)
