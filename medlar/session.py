@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+PARENT = str(Path(__file__).resolve().parents[1])
+
 
 def build_session(app: str = "medlar", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, ANSI casts, adaptive execution and Arrow transfer.
@@ -26,3 +31,12 @@ def build_session(app: str = "medlar", master: str | None = None, **conf: str) -
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package wherever the driver was started; elsewhere it is installed or
+    shipped with --py-files."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PARENT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([PARENT, *filter(None, paths)])
