@@ -1,8 +1,9 @@
 """Scores of whole texts by a gated recurrent language model over corpus-wide word counts.
 
 Words are counted over all training texts. The most frequent are outputs of the model; every other word belongs to a sort,
-which is an output too, and has its share of the sort by its count. The model itself is trained on a bounded sample of
-texts. Counts of frequent words go to the executors as a bounded table; those of the rest are joined by hash.
+which is an output too, and has its share of the sort by its count. The model is started on a bounded sample and then trained
+on all training texts: they are dealt to shards by hash, and in each of a few rounds every shard goes on from the mean of
+all shards' parameters with texts of its own that were not used before. Parameters are summed on executors. Counts of frequent words go to the executors as a bounded table; those of the rest are joined by hash.
 """
 
 from __future__ import annotations
@@ -12,17 +13,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlar.llm.recurrent import BUCKETS, END, OUTPUTS, GatedModel
+from medlar.llm.recurrent import BUCKETS, END, OUTPUTS, Adam, GatedModel
 from medlar.llm.shared import _ASCII_LOWER, NOT_SPACE, chunks, cut, fold, mix64, span_hashes, spans, text_bytes
 
 #: Words whose counts are broadcast, 16 bytes each.
 FREQUENT = 500_000
-#: Bounds of the sample that the recurrent model is trained on.
+#: Bounds of the sample that the recurrent model is started on.
 ROWS = 4_000
 BYTES = 12 << 20
+#: Bytes of text that a shard learns, rounds between which the shards' parameters are averaged, and the first one's rate.
+SHARD_BYTES = 32 << 20
+ROUNDS = 4
+RATE = 0.004
+#: Tokens that a task holds, and slices that parameters are summed by.
+HELD = 1 << 20
+SLICES = 64
 _U = np.uint64
 
 
@@ -91,6 +100,13 @@ class Scorer:
         output = np.where(known, self.outputs[at], -1)[inverse] if len(self.words) else np.full(len(word), -1)
         return count, np.where(output < 0, OUTPUTS - BUCKETS + sort, output)
 
+    def tokens(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(outputs of the texts behind one another, each ended by END; their lengths) by chunks of texts."""
+        for a, b, counts, word, sort in _texts(col):
+            tokens = np.full(len(word) + b - a, END, np.int32)
+            tokens[np.arange(len(word)) + np.repeat(np.arange(b - a), counts)] = self.lookup(word, sort)[1]
+            yield tokens, counts + 1
+
     def score(self, col: pa.Array) -> Iterator[dict[str, np.ndarray]]:
         """By groups of texts: what is known of them without the rare words, and the rare words with their numbers."""
         held: list[tuple] = []
@@ -132,20 +148,79 @@ class Scorer:
         return {"n": counts, "base": base, "known": known, "score": model + share, "whose": whose, "word": np.concatenate([h[6] for h in held]), "times": np.concatenate([h[7] for h in held])}
 
 
-def _train(texts: DataFrame, outputs: np.ndarray, words: np.ndarray, frequency: np.ndarray, rows: int, most_bytes: int, seed: int) -> GatedModel:
-    """Fit the recurrent model on a sample of the texts, whole ones up to ``most_bytes`` together."""
-    total = texts.count()
+def _start(texts: DataFrame, total: int, scorer: Scorer, rows: int, most_bytes: int, seed: int) -> None:
+    """Fit the recurrent model on a sample of the texts, up to ``most_bytes`` together. Of a text the first sixteenth of
+    that many characters counts at most, so that no text ends the sample or fills it."""
     key = F.xxhash64(F.lit(seed), "text")
-    drawn = texts.where(F.pmod(key, F.lit(1_000_000)) < F.lit(min(1.0, rows / max(total, 1)) * 1_000_000)).dropDuplicates(["text"]).limit(4 * rows)
+    drawn = texts.where(F.pmod(key, F.lit(1_000_000)) < F.lit(min(1.0, rows / max(total, 1)) * 1_000_000)).select(F.substring("text", 1, most_bytes // 16).alias("text"))
+    drawn = drawn.dropDuplicates(["text"]).limit(4 * rows)
     order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "text"), "text").rowsBetween(Window.unboundedPreceding, 0)
     drawn = drawn.withColumn("bytes", F.octet_length("text")).withColumn("sum", F.sum("bytes").over(order)).where(F.col("sum") <= most_bytes)
     got = drawn.select("text").toArrow()["text"].combine_chunks()
-    model = GatedModel(seed)
-    model.start(frequency)
-    scorer = Scorer(words, np.zeros(len(words), np.int64), outputs, 1, 1, 1, np.zeros(BUCKETS), model)
-    rows_of = [p[0] for p in scorer._pieces(got)] if len(got) else []
-    model.fit(np.concatenate([np.array([END], np.int32), *rows_of]))
-    return model
+    rows_of = [x for x, _ in scorer.tokens(got)] if len(got) else []
+    scorer.model.fit(np.concatenate([np.array([END], np.int32), *rows_of]))
+
+
+def _train(texts: DataFrame, size: int, scorer: Scorer, seed: int) -> None:
+    """Go on with the recurrent model over all of the texts (key, text) of ``size`` bytes."""
+    sc = texts.sparkSession.sparkContext
+    names, shapes = list(scorer.model.p), [x.shape for x in scorer.model.p.values()]
+    borders = np.cumsum([int(np.prod(x)) for x in shapes])
+    known = sc.broadcast(scorer)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at = batch.column(0), 0
+            for tokens, counts in known.value.tokens(batch.column(1)):
+                offsets = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(tokens.astype(np.uint16))])
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(counts)), packed], ["key", "tokens"])
+                at += len(counts)
+
+    shards = max(1, -(-size // SHARD_BYTES))
+    dealt = cut(texts.select("key", "text").mapInArrow(encode, "key long, tokens binary").repartition(shards, "key").sortWithinPartitions("key", "tokens"))
+
+    for turn in range(ROUNDS):
+        flat = np.concatenate([x.reshape(-1) for x in scorer.model.p.values()])
+        send, rate = sc.broadcast(flat), RATE * (1 - turn / ROUNDS)
+
+        def learn(batches: Iterator[pa.RecordBatch], send=send, rate=rate) -> Iterator[pa.RecordBatch]:
+            model, seen, held = GatedModel(seed), 0, []
+            model.p = {k: x.reshape(shape).copy() for k, x, shape in zip(names, np.split(send.value, borders[:-1]), shapes, strict=True)}
+            adam = Adam(model.p)
+            for batch in batches:
+                held.append(text_bytes(batch.column(0).cast(pa.binary()))[0].view(np.uint16).astype(np.int32))
+                if sum(map(len, held)) >= HELD:
+                    tokens, held = np.concatenate(held), []
+                    for a in range(0, len(tokens), HELD):
+                        model.learn(tokens[a : a + HELD], adam, rate)
+                    seen += len(tokens)
+            if sum(map(len, held)):
+                model.learn(np.concatenate(held), adam, rate)
+                seen += sum(map(len, held))
+            if seen:
+                # Differences: those of outputs that a small shard doesn't hold are 0 and take no room in the shuffle.
+                parts = np.array_split(np.concatenate([x.reshape(-1) for x in model.p.values()]) - send.value, SLICES)
+                shard = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([shard] * SLICES, pa.int32()), pa.array([seen] * SLICES, pa.int64()), pa.array(parts, pa.list_(pa.float32()))], ["slice", "shard", "seen", "moves"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, list] = {}
+            for batch in batches:
+                for k, seen, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                    own = sums.setdefault(k, [0, 0.0])
+                    own[0] += seen
+                    own[1] = own[1] + seen * x.values.to_numpy().astype(np.float64)
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.list_(pa.float64()))], ["slice", "seen", "sums"])
+
+        learned = dealt.where(F.pmod("key", F.lit(ROUNDS)) == turn).select("tokens").mapInArrow(learn, "slice int, shard int, seen long, moves array<float>")
+        got = learned.repartition(8, "slice").sortWithinPartitions("slice", "shard").mapInArrow(add, "slice int, seen long, sums array<double>").toArrow().sort_by("slice").to_pylist()
+        if got:
+            flat = (flat + np.concatenate([np.array(x["sums"]) / x["seen"] for x in got])).astype(np.float32)
+            scorer.model.p = {k: x.reshape(shape) for k, x, shape in zip(names, np.split(flat, borders[:-1]), shapes, strict=True)}
+        send.unpersist()
+    known.unpersist()
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, frequent: int = FREQUENT, rows: int = ROWS, most_bytes: int = BYTES, seed: int = 10) -> DataFrame:
@@ -156,9 +231,10 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, frequent: int
     text by the model. Counts are of all texts outside the held-out fold; without any, every count is 0 and N is 0.
     """
     out = fold(F.col("doc_id"), folds) == held_out
-    learned = docs.where(~out).select(F.coalesce("text", F.lit("")).alias("text"))
-    vocabulary = cut(word_counts(learned))
-    ends = learned.count()
+    text = F.coalesce("text", F.lit(""))
+    learned = docs.where(~out).select(F.xxhash64(F.lit(seed + 2), "doc_id", text).alias("key"), text.alias("text"))
+    vocabulary = cut(word_counts(learned.select("text")))
+    ends, size = learned.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     sums = vocabulary.groupBy("sort").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
     in_sort, types = np.zeros(BUCKETS), np.zeros(BUCKETS)
     in_sort[sums["sort"].to_numpy()], types[sums["sort"].to_numpy()] = sums["n"].to_numpy(), sums["v"].to_numpy()
@@ -179,8 +255,11 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, frequent: int
     in_sort -= np.bincount(sort[named], count[named], BUCKETS)
     types -= np.bincount(sort[named], minlength=BUCKETS)
     own[OUTPUTS - BUCKETS :] = in_sort
-    model = _train(learned, outputs, word, own, rows, most_bytes, seed)
+    model = GatedModel(seed)
+    model.start(own)
     scorer = Scorer(word, count, outputs, total, distinct, ends, np.log10(in_sort + 0.5 * (types + 1)), model)
+    _start(learned.select("text"), ends, scorer, rows, most_bytes, seed)
+    _train(learned, size, scorer, seed)
     send = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +273,6 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, frequent: int
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "known", "base", "score", "rare"])
                 at += n
 
-    text = F.coalesce("text", F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
         score, f"doc_id {kind}, text_hash long, n long, known long, base double, score double, rare array<struct<word: long, times: long>>"

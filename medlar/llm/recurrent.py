@@ -16,6 +16,8 @@ END = 0
 #: Steps that errors go back, and texts that run side by side.
 WINDOW = 32
 STREAMS = 64
+#: Texts that run side by side where a task learns its share of a corpus.
+WIDE = 256
 
 _F = np.float32
 
@@ -29,6 +31,26 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
+class Adam:
+    """Running means of a model's gradients and of their squares."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.first = {k: np.zeros_like(v) for k, v in p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in p.items()}
+        self.turn = 0
+
+    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], pace: float) -> None:
+        """Replace the parameters by those one step on; the gradient's norm is cut at 1."""
+        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        self.turn += 1
+        for k, x in g.items():
+            x = x * _F(min(1, 1 / (norm + 1e-9)))
+            self.first[k] += _F(0.1) * (x - self.first[k])
+            self.second[k] += _F(0.01) * (x * x - self.second[k])
+            up = self.first[k] / _F(1 - 0.9**self.turn) / (np.sqrt(self.second[k] / _F(1 - 0.99**self.turn)) + _F(1e-6))
+            p[k] = p[k] - _F(pace) * up
+
+
 class GatedModel:
     """Parameters: embed (input), gates (recurrent), heads of classes and of the outputs in each class."""
 
@@ -132,9 +154,8 @@ class GatedModel:
         if length < 2:
             return []
         rows = tokens[: streams * length].reshape(streams, length).T
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        losses, turn = [], 0
+        adam = Adam(self.p)
+        losses = []
         total = epochs * -(-(length - 1) // WINDOW)
         for _ in range(epochs):
             h = np.zeros((streams, self.hidden), _F)
@@ -142,17 +163,24 @@ class GatedModel:
                 b = min(a + WINDOW, length - 1)
                 h, g, loss = self._window(h, rows[a:b], rows[a + 1 : b + 1])
                 losses.append(loss)
-                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                turn += 1
-                pace = rate * min(1, turn / 20) * (1 - 0.9 * turn / total)
-                for k, x in g.items():
-                    x = x * _F(min(1, 1 / (norm + 1e-9)))
-                    first[k] += _F(0.1) * (x - first[k])
-                    second[k] += _F(0.01) * (x * x - second[k])
-                    up = first[k] / _F(1 - 0.9**turn) / (np.sqrt(second[k] / _F(1 - 0.99**turn)) + _F(1e-6))
-                    self.p[k] = self.p[k] - _F(pace) * up
+                turn = adam.turn + 1
+                adam.step(self.p, g, rate * min(1, turn / 20) * (1 - 0.9 * turn / total))
         return losses
 
+    def learn(self, tokens: np.ndarray, adam: Adam, rate: float) -> None:
+        """One pass over all of ``tokens``, at one rate after the first steps: each is a target once. A window with fewer
+        targets than others has a smaller step. There are WIDE streams, fewer if each had under 64 windows."""
+        inputs = np.concatenate([np.array([END], tokens.dtype), tokens[:-1]])
+        streams = max(1, min(WIDE, len(tokens) // (64 * WINDOW)))
+        full, length = streams * WINDOW, len(tokens) // streams
+        for n, a, b in ((streams, 0, streams * length), (1, streams * length, len(tokens))):
+            x, y = inputs[a:b].reshape(n, -1).T, tokens[a:b].reshape(n, -1).T
+            h = np.zeros((n, self.hidden), _F)
+            for t in range(0, len(x), WINDOW):
+                wanted = y[t : t + WINDOW]
+                h, g, _ = self._window(h, x[t : t + WINDOW], wanted)
+                adam.step(self.p, g, rate * min(1, (adam.turn + 1) / 20) * wanted.size / full)
+
     def text_log_probabilities(self, tokens: np.ndarray, counts: np.ndarray, side: int = 2048, window: int = WINDOW) -> np.ndarray:
         """ln P of each whole text; ``tokens`` has the texts behind one another, ``counts`` their lengths. Texts of
         similar length run side by side, and the state is carried from window to window to the text's end."""

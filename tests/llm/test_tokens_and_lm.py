@@ -130,3 +130,22 @@ def test_nothing_to_learn_from(spark):
     check_scores(df, rows)
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in rows} == {(0, 0, 0.0)}
     assert all(math.isfinite(r["score"]) for r in rows)
+
+
+def test_every_text_is_learned_from(spark, monkeypatch):
+    """Without a sample to start from, as where one text is larger than all of it, the model still learns the order of words."""
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 100_000)
+    df = spark.createDataFrame([(i, " ".join(f"w{(i + k) % 40}" for k in range(300))) for i in range(400)], "doc_id long, text string")
+    held = [r for r in lm_scoring.lm_scores(df, most_bytes=1).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.5 * sum(r["base_score"] for r in held)
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    texts = spark.createDataFrame([("lang " * 2_000,), *((f"w{i} " * 5,) for i in range(50))], "text string")
+    words = np.zeros(0, np.uint64)
+    seen = []
+    model = GatedModel(1)
+    model.fit = seen.append
+    scorer = lm_scoring.Scorer(words, np.zeros(0, np.int64), np.zeros(0, np.int32), 1, 1, 1, np.zeros(256), model)
+    lm_scoring._start(texts, 51, scorer, 1_000, 4_000, 10)
+    assert len(seen[0]) > 50 * 6
