@@ -1,8 +1,9 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A text's elements are its shingles of five words, weighted by 1 + ln(count). Every element is a Poisson process whose
+A text's elements are its distinct shingles of five words, all of weight 1. Every element is a Poisson process whose
 arrivals, faster for heavier elements, each fall on a random register; a register keeps the element that comes first.
-Two texts agree on a register with the probability of their probability Jaccard similarity. Arrivals are made in order
+Two texts agree on a register with the probability of their probability Jaccard similarity, which with equal weights is
+the plain one: weights by count would let what only one text repeats hide a pair that is to be linked. Arrivals are made in order
 of time and stop as soon as none can come first any more. Bands of registers give buckets of candidates, and candidates
 are linked if the plain Jaccard similarity of their shingle sets, counted exactly, reaches the threshold. Classes are
 the connected components of links and exact copies.
@@ -63,7 +64,7 @@ def shingle_sets(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (shingle[1:] != shingle[:-1])
     at = np.flatnonzero(new)
-    return text[at], shingle[at], 1 + np.log(np.diff(np.append(at, len(text))))
+    return text[at], shingle[at], np.ones(len(at))
 
 
 def whole_hashes(counts: np.ndarray, words: np.ndarray, salt: int) -> np.ndarray:

@@ -104,3 +104,14 @@ def test_one_of_each_keeps_the_least_id(spark):
     rows = [(5, "a b c d e f g"), (2, "A b c d e f g"), (9, "h i j k l m n"), (3, None)]
     kept = ND.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 9]
+
+
+def test_repeats_that_are_not_shared_hide_no_pair(spark):
+    """96 shared shingles and a line of 20 words, 200 times in one copy: a plain similarity of 0.8 or a little more."""
+    rows = []
+    for i in range(40):
+        base = " ".join(f"w{i}x{k}" for k in range(100))
+        rows += [(2 * i, base), (2 * i + 1, base + (" " + " ".join(f"n{i}x{k}" for k in range(20))) * 200)]
+    expected = brute(rows)
+    assert all(expected[2 * i + 1] == 2 * i for i in range(40))
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == expected
