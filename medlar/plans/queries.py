@@ -623,6 +623,17 @@ def retrain_gate(spark: SparkSession, sf: str) -> DataFrame:
     return fc.retrain_gate(now, last, ["program_id"])
 
 
+@query(f"""{_REGISTRY}, cur AS (SELECT program_id, max(period_ordinal) - program_key % 4 AS current_max FROM program LEFT JOIN enr USING (program_id) GROUP BY program_id, program_key),
+  l AS (SELECT program_id, arg_max(trained_to, trained_at) AS last_trained FROM registry WHERE program_id NOT LIKE '%-5' GROUP BY 1)
+  SELECT program_id, CAST(current_max AS INTEGER) AS current_max, last_trained, CASE WHEN last_trained IS NULL THEN 'bootstrap' WHEN current_max > last_trained THEN 'new_period'
+  WHEN current_max < last_trained THEN 'regressed' ELSE 'unchanged' END AS reason, last_trained IS NULL OR coalesce(current_max > last_trained, false) AS retrain FROM cur LEFT JOIN l USING (program_id)""")
+def retrain_gate_every_program(spark: SparkSession, sf: str) -> DataFrame:
+    keyed = R.programs(spark, sf).select("program_id", "program_key").join(R.enrollment(spark, sf).select("program_id", "period_ordinal"), "program_id", "left")
+    now = keyed.groupBy("program_id", "program_key").agg(F.max("period_ordinal").alias("m")).select("program_id", (F.col("m") - F.col("program_key") % 4).cast("int").alias("current_max"))
+    last = fc.newest(_registry(spark, sf).where("program_id NOT LIKE '%-5'"), ["program_id"]).select("program_id", F.col("trained_to").alias("last_trained"))
+    return fc.retrain_gate(now, last, ["program_id"])
+
+
 @query(f"""{_REGISTRY}, c AS (SELECT program_id, CAST(program_key % 8 AS DOUBLE) AS mae, CAST(4.5 AS DOUBLE) AS best_baseline_mae FROM program), ch AS (SELECT program_id, mae AS champion_mae FROM registry WHERE is_champion AND program_id NOT LIKE '%-1'),
   d AS (SELECT *, CASE WHEN NOT mae < best_baseline_mae THEN 'baseline' WHEN mae > champion_mae THEN 'champion' WHEN champion_mae IS NULL THEN 'bootstrap' ELSE 'improves' END AS reason FROM c LEFT JOIN ch USING (program_id))
   SELECT *, reason IN ('bootstrap', 'improves') AS promote FROM d""")
@@ -657,6 +668,13 @@ def pivot_actual_forecast(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("program_id", *[F.col(f"{t}_{c}").alias(f"{c}_{t}") for t in (11, 12) for c in ("actual", "forecast")])
 
 
+@query(f"""{_FOLDS} SELECT program_id, max(CASE WHEN test_ordinal = 11 THEN actual END) AS actual_11, max(CASE WHEN test_ordinal = 11 THEN naive END) AS forecast_11, max(CASE WHEN test_ordinal = 12 THEN actual END) AS actual_12,
+  max(CASE WHEN test_ordinal = 12 THEN naive END) AS forecast_12, max(CASE WHEN test_ordinal = 13 THEN actual END) AS actual_13, max(CASE WHEN test_ordinal = 13 THEN naive END) AS forecast_13 FROM folds GROUP BY 1""")
+def pivot_actual_forecast_every_fold(spark: SparkSession, sf: str) -> DataFrame:
+    wide = _folds(spark, sf).groupBy("program_id").pivot("test_ordinal", [11, 12, 13]).agg(F.max("actual").alias("actual"), F.max("naive").alias("forecast"))
+    return wide.select("program_id", *[F.col(f"{t}_{c}").alias(f"{c}_{t}") for t in (11, 12, 13) for c in ("actual", "forecast")])
+
+
 @query(f"{_COUNTS} SELECT program_id, period_ordinal, enrollment_count FROM (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY period_ordinal DESC) AS r FROM counts) WHERE r = 1")
 def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.latest_per_key(_program_counts(spark, sf), ["program_id"], [F.desc("period_ordinal")]).select("program_id", "period_ordinal", "enrollment_count")
@@ -745,6 +763,13 @@ def year_level_labels(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("student_id", "year_level", P.year_level_label(F.col("year_level"), F.col("nominal_duration_years")).alias("label"), P.level_of_cohort(F.col("academic_year"), F.lit(1997)).alias("by_cohort"))
 
 
+@query(f"""WITH {R.SQL} SELECT student_id, period_ordinal, year_level, CASE WHEN year_level <= 1 THEN 'Freshman' WHEN year_level = 2 THEN 'Sophomore' WHEN year_level = 3 THEN 'Junior' WHEN year_level = 4 THEN 'Senior'
+  WHEN year_level > ceil(nominal_duration_years) THEN 'Super Senior' ELSE 'Senior' END AS label, CAST(least(6, greatest(1, academic_year - 1996)) AS INTEGER) AS by_cohort FROM enr JOIN program USING (program_id)""")
+def year_level_labels_every_period(spark: SparkSession, sf: str) -> DataFrame:
+    rows = R.enrollment(spark, sf).join(R.programs(spark, sf).select("program_id", "nominal_duration_years"), "program_id")
+    return rows.select("student_id", "period_ordinal", "year_level", P.year_level_label(F.col("year_level"), F.col("nominal_duration_years")).alias("label"), P.level_of_cohort(F.col("academic_year"), F.lit(1997)).alias("by_cohort"))
+
+
 # --- landing ---
 
 
