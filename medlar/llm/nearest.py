@@ -1,10 +1,13 @@
 """Nearest vectors by inner product: a hierarchical navigable small-world graph per shard, results merged.
 
 Equal vectors are one entry with the ids of its copies. Entries are dealt to shards by hash; a shard draws a geometric
-level for each entry, links each entry on each of its levels to diverse near ones, and stores the graph as flat arrays of
-neighbours in one row. Largest inner products are found as nearest vectors of one more dimension that gives all entries
-the same norm. Blocks of queries meet every shard's row; all queries of a block walk the graph together. Scores are inner
-products of the original components in double precision.
+level for each entry, links each entry on each of its levels, and stores the graph as flat arrays of neighbours in one
+row. A quarter of an entry's places is for diverse entries of near direction, a quarter for those of largest inner product
+with it, which lead to the entries of large norm that answer most queries, and the rest for entries that chose it. A
+search walks down the levels with a small beam and over the lowest with one whose width a shard finds by itself: the
+least of a doubling series that finds enough of the true neighbours of a fixed number of its own entries. A shard's graph
+is read once, by the partition that all queries pass through. Scores are inner products of the original components in
+double precision.
 """
 
 from __future__ import annotations
@@ -22,53 +25,77 @@ NEAREST = 20
 #: Entries of a shard, at most about; shards there are at least.
 SHARD_ROWS = 32_768
 SHARDS = 8
-#: Neighbours above the lowest level and on it, candidates that they are chosen from, and width of the search.
+#: Neighbours above the lowest level and on it, and candidates that each half of the chosen ones comes from.
 LINKS = 16
 LOW_LINKS = 32
 CHOICE = 64
-WIDTH = 128
+#: Least width of the search, share of true neighbours that a shard wants to find, and entries that it tries this on.
+WIDTH = 64
+FOUND = 0.97
+TRIED = 256
+#: Width of the walks on higher levels, entries that they hand down, and entries of a beam that are opened together.
+HIGH_WIDTH = 16
+HANDED = 8
+OPENED = 4
 #: Queries that walk a graph together.
-QUERY_BLOCK = 2_048
+QUERY_BLOCK = 512
 SEED = 8
 
 
-def _nearest_of_all(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
-    """The k rows of largest inner product with each row, itself left out, best first."""
+def _nearest_of_all(x: np.ndarray, y: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+    """For each row of ``x`` the k rows of ``y`` of largest inner product, that of the same place left out, best first."""
     out = np.empty((len(x), k), np.int32)
     for a in range(0, len(x), block):
-        near = x[a : a + block] @ x.T
+        near = x[a : a + block] @ y.T
         near[np.arange(len(near)), np.arange(a, a + len(near))] = -np.inf
-        part = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(x) - 1 else np.argsort(-near, axis=1)[:, :k]
+        part = np.argpartition(-near, k - 1, axis=1)[:, :k]
         order = np.argsort(-np.take_along_axis(near, part, 1), axis=1, kind="stable")
         out[a : a + block] = np.take_along_axis(part, order, 1)
     return out
 
 
-def _level_graph(x: np.ndarray, links: int) -> np.ndarray:
-    """Neighbours of each row, -1 for none: half of the places for diverse near rows, the rest for those that chose the row
-    and for the nearest again. ``x`` has rows of one norm."""
-    n = len(x)
-    if n < 2:
-        return np.full((n, links), -1, np.int32)
-    k = min(CHOICE, n - 1)
-    near = _nearest_of_all(x, k)
-    chosen = np.full((n, links), -1, np.int32)
-    filled = np.zeros(n, int)
-    half = max(1, links // 2)
-    close = np.empty((n, k), np.float32)
-    for a in range(0, n, 4096):
-        close[a : a + 4096] = np.einsum("nd,nkd->nk", x[a : a + 4096], x[near[a : a + 4096]])
-    for j in range(k):  # a row is diverse if no chosen one is nearer to it than the row that chooses
-        candidate = near[:, j]
-        room = np.flatnonzero(filled < half)
+def _choose_diverse(unit: np.ndarray, near: np.ndarray, chosen: np.ndarray, places: int) -> None:
+    """Fill ``places`` of ``chosen``: a candidate is taken if no chosen one is nearer to it than the row that chooses."""
+    filled = np.zeros(len(near), int)
+    close = np.empty(near.shape, np.float32)
+    for a in range(0, len(near), 4096):
+        close[a : a + 4096] = np.einsum("nd,nkd->nk", unit[a : a + 4096], unit[near[a : a + 4096]])
+    for j in range(near.shape[1]):
+        room = np.flatnonzero(filled < places)
         if not len(room):
             break
-        among = chosen[room, :half]
-        between = np.einsum("nd,nkd->nk", x[candidate[room]], x[np.maximum(among, 0)])
+        candidate, among = near[room, j], chosen[room, :places]
+        between = np.einsum("nd,nkd->nk", unit[candidate], unit[np.maximum(among, 0)])
         blocked = ((between > close[room, j][:, None]) & (among >= 0)).any(1)
         free = room[~blocked]
-        chosen[free, filled[free]] = candidate[free]
+        chosen[free, filled[free]] = near[free, j]
         filled[free] += 1
+
+
+def _fill(chosen: np.ndarray, near: np.ndarray, places: int) -> None:
+    """Fill ``chosen`` up to ``places`` with the nearest that it doesn't have yet."""
+    filled = (chosen >= 0).sum(1)
+    for j in range(near.shape[1]):
+        room = np.flatnonzero(filled < places)
+        if not len(room):
+            break
+        new = room[~(chosen[room] == near[room, j][:, None]).any(1)]
+        chosen[new, filled[new]] = near[new, j]
+        filled[new] += 1
+
+
+def _level_graph(x: np.ndarray, links: int) -> np.ndarray:
+    """Neighbours of each row, -1 for none: a quarter of the places for diverse rows of near direction, a quarter for rows
+    of large inner product, the rest for those that chose the row and then for the nearest in direction again."""
+    n = len(x)
+    chosen = np.full((n, links), -1, np.int32)
+    if n < 2:
+        return chosen
+    k = min(CHOICE, n - 1)
+    unit = (x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]).astype(np.float32)
+    near = _nearest_of_all(unit, unit, k)
+    _choose_diverse(unit, near, chosen, links // 4)
+    _fill(chosen, _nearest_of_all(unit, x.astype(np.float32), k), links // 2)
     source, place = np.nonzero(chosen >= 0)
     target = chosen[source, place]
     mutual = (chosen[target] == source[:, None]).any(1)
@@ -76,41 +103,42 @@ def _level_graph(x: np.ndarray, links: int) -> np.ndarray:
     order = np.lexsort((place, target))
     into, back = target[order], source[order]
     turn = np.arange(len(into)) - np.searchsorted(into, into)
-    spot = filled[into] + turn
+    spot = (chosen >= 0).sum(1)[into] + turn
     fits = spot < links
     chosen[into[fits], spot[fits]] = back[fits]
-    filled = (chosen >= 0).sum(1)
-    for j in range(k):
-        room = np.flatnonzero(filled < links)
-        if not len(room):
-            break
-        new = room[~(chosen[room] == near[room, j][:, None]).any(1)]
-        chosen[new, filled[new]] = near[new, j]
-        filled[new] += 1
+    _fill(chosen, near, links)
     return chosen
 
 
 class Graph:
-    """The graph of one shard. levels[0] has all entries; a higher one the entries ``members`` of it."""
+    """The graph of one shard: on each level the places of its ``members`` and each one's neighbours, by number within the
+    level. The lowest level has all entries."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, seed: int = SEED):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        norm = (self.vectors.astype(np.float64) ** 2).sum(1)
-        lift = np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))
-        x = np.concatenate([self.vectors, lift[:, None]], 1).astype(np.float32)
-        draw = np.random.default_rng(seed).random(len(x))
+        draw = np.random.default_rng(seed).random(len(ids))
         height = np.floor(-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(int)
-        self.members, self.links = [], []
-        for level in range(int(height.max(initial=0)) + 1):
-            members = np.flatnonzero(height >= level).astype(np.int32)
-            near = _level_graph(x[members], LOW_LINKS if level == 0 else LINKS)
-            self.members.append(members)
-            self.links.append(np.where(near >= 0, members[near], -1).astype(np.int32))
+        self.members = [np.flatnonzero(height >= level).astype(np.int32) for level in range(int(height.max(initial=0)) + 1)]
+        self.links = [_level_graph(self.vectors[m], LOW_LINKS if level == 0 else LINKS) for level, m in enumerate(self.members)]
+        self.width = WIDTH
+        self._find_width()
+
+    def _find_width(self, k: int = NEAREST) -> None:
+        """Double the width until the walks of TRIED entries, spread evenly, find enough of their k nearest."""
+        q = self.vectors[np.linspace(0, max(len(self.ids) - 1, 0), min(TRIED, len(self.ids)), dtype=int)]
+        k = min(k, len(self.ids))
+        value = q @ self.vectors.T
+        least = -np.partition(-value, k - 1, axis=1)[:, k - 1]
+        while self.width < len(self.ids):
+            place, found = self.search(q, k)
+            if ((found >= least[:, None]) & (place >= 0)).sum() >= FOUND * k * len(q):
+                break
+            self.width *= 2
 
     def pack(self) -> bytes:
         """Flat arrays behind one another, with their lengths in front."""
-        head = [self.vectors.itemsize, len(self.ids), self.vectors.shape[1], len(self.members), *(len(m) for m in self.members)]
+        head = [self.vectors.itemsize, self.width, len(self.ids), self.vectors.shape[1], len(self.members), *(len(m) for m in self.members)]
         parts = [np.array([len(head), *head], np.int64), self.ids.astype(np.int64), self.vectors]
         return b"".join(p.tobytes() for p in [*parts, *self.members, *self.links])
 
@@ -124,57 +152,63 @@ class Graph:
             at += got.nbytes
             return got
 
-        wide, n, width, _, *sizes = (int(i) for i in take(int(take(1, np.int64)[0]), np.int64))
-        self.ids, self.vectors = take(n, np.int64), take(n * width, np.float32 if wide == 4 else np.float64).reshape(n, width)
+        wide, self.width, n, size, _, *sizes = (int(i) for i in take(int(take(1, np.int64)[0]), np.int64))
+        self.ids, self.vectors = take(n, np.int64), take(n * size, np.float32 if wide == 4 else np.float64).reshape(n, size)
         self.members = [take(m, np.int32) for m in sizes]
         self.links = [take(m * (LOW_LINKS if i == 0 else LINKS), np.int32).reshape(m, -1) for i, m in enumerate(sizes)]
         return self
 
-    def search(self, queries: np.ndarray, k: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-        """(place, inner product) of about the k best entries of each query; place -1 where there are fewer."""
-        q = queries.astype(self.vectors.dtype)
-        top = len(self.members) - 1
-        at = np.repeat(self.members[top][:1].astype(np.int64), len(q))
-        best = np.einsum("nd,nd->n", q, self.vectors[at])
-        for level in range(top, 0, -1):  # greedy descent
-            moving = np.arange(len(q))
-            while len(moving):
-                near = self.links[level][np.searchsorted(self.members[level], at[moving])]
-                value = np.where(near >= 0, np.einsum("nd,nkd->nk", q[moving], self.vectors[np.maximum(near, 0)]), -np.inf)
-                j = value.argmax(1)
-                gain = value[np.arange(len(moving)), j]
-                up = gain > best[moving]
-                at[moving[up]], best[moving[up]] = near[up, j[up]], gain[up]
-                moving = moving[up]
-        width = min(max(width, k), len(self.ids))
-        rows = np.arange(len(q))
-        seen = np.zeros((len(q), len(self.ids)), bool)
-        seen[rows, at] = True
+    def _walk(self, level: int, q: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number within the level, inner product) of the best entries that a beam of ``width`` reaches from ``start``; -1
+        for none. In a turn each query opens the best few of its beam that aren't open yet."""
+        members, links = self.members[level], self.links[level]
+        width = max(min(width, len(members)), start.shape[1])
+        opened = min(OPENED, width)
+        rows, columns = np.nonzero(start >= 0)
         place = np.full((len(q), width), -1, np.int64)
         value = np.full((len(q), width), -np.inf, q.dtype)
-        done = np.ones((len(q), width), bool)
-        place[:, 0], value[:, 0], done[:, 0] = at, best, False
-        while True:  # each active query opens its best entry that is not open yet
+        place[rows, columns] = start[rows, columns]
+        value[rows, columns] = np.einsum("nd,nd->n", q[rows], self.vectors[members[start[rows, columns]]])
+        done = place < 0
+        claimed = np.zeros((len(q), len(members)), np.int32)
+        claimed[rows, start[rows, columns]] = 1
+        while True:
             open_value = np.where(done, -np.inf, value)
-            j = open_value.argmax(1)
-            active = np.flatnonzero(open_value[rows, j] > -np.inf)
+            j = np.argpartition(-open_value, opened - 1, axis=1)[:, :opened]
+            live = np.take_along_axis(open_value, j, 1) > -np.inf
+            active = np.flatnonzero(live.any(1))
             if not len(active):
                 return place, value
-            j = j[active]
-            node = place[active, j]
-            done[active, j] = True
-            near = self.links[0][node]
-            fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(fresh)
-            seen[active[r], near[r, c]] = True
+            j, live = j[active], live[active]
+            node = np.where(live, place[active[:, None], j], -1)
+            done[active[:, None], j] = True
+            near = np.where((node >= 0)[:, :, None], links[np.maximum(node, 0)], -1).reshape(len(active), -1)
+            r, c = np.nonzero((near >= 0) & (claimed[active[:, None], np.maximum(near, 0)] == 0))
+            mark = np.arange(1, len(r) + 1, dtype=np.int32)
+            claimed[active[r], near[r, c]] = mark  # of entries that several opened ones lead to, one stays
+            own = claimed[active[r], near[r, c]] == mark
+            r, c = r[own], c[own]
             found = np.full(near.shape, -np.inf, q.dtype)
-            found[r, c] = np.einsum("nd,nd->n", q[active[r]], self.vectors[near[r, c]])
+            found[r, c] = np.einsum("nd,nd->n", q[active[r]], self.vectors[members[near[r, c]]])
+            fresh = found > -np.inf
             all_value = np.concatenate([value[active], found], 1)
             all_place = np.concatenate([place[active], np.where(fresh, near, -1)], 1)
             all_done = np.concatenate([done[active], ~fresh], 1)
             keep = np.argpartition(-all_value, width - 1, axis=1)[:, :width]
             value[active], place[active], done[active] = (np.take_along_axis(z, keep, 1) for z in (all_value, all_place, all_done))
 
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, inner product) of about the k best entries of each query and more; place -1 where there are fewer."""
+        q = queries.astype(self.vectors.dtype)
+        top = len(self.members) - 1
+        start = np.tile(np.arange(min(len(self.members[top]), HIGH_WIDTH)), (len(q), 1))
+        for level in range(top, 0, -1):
+            place, value = self._walk(level, q, start, HIGH_WIDTH)
+            best = np.take_along_axis(place, np.argsort(-value, axis=1, kind="stable")[:, :HANDED], 1)
+            below = np.searchsorted(self.members[level - 1], self.members[level][np.maximum(best, 0)])
+            start = np.where(best >= 0, below, -1)
+        return self._walk(0, q, start, max(self.width, k))
+
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return np.asarray(col.flatten()).astype(np.float64).reshape(len(col), width)
@@ -226,32 +260,32 @@ def nearest_by_inner_product(vectors: DataFrame, every: int = 20, k: int = NEARE
     asked = fit.where(F.col("id") % every == 0).select("h", F.col("id").alias("query_id"))
     queries = asked.select("h").distinct().join(entries, "h").join(items.select("entry", "v"), "entry").select("entry", "v")
     queries = cut(queries)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("entry", F.lit(SEED)), F.lit(blocks)).cast("int")
-    questions = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), "entry", "v", F.lit(None).cast("binary").alias("graph"))
-    graphs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("long").alias("entry"), F.lit(None).cast(kind).alias("v"), "graph")
-
-    def walk(key: tuple, rows: pa.Table) -> pa.Table:
-        packed = [g for g in rows["graph"].to_pylist() if g is not None]
-        asks = rows.filter(pa.compute.is_valid(rows["entry"])).combine_chunks()
-        if not packed or not len(asks):
-            return pa.table({"asker": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        graph, names, q = Graph.unpack(packed[0]), asks["entry"].to_numpy(), _matrix(asks["v"].chunk(0), width)
-        askers, found, scores = [], [], []
-        for a in range(0, len(q), 512):
-            place, _ = graph.search(q[a : a + 512], k + 1)
-            r, c = np.nonzero(place >= 0)
-            p = place[r, c]
-            score = np.einsum("nd,nd->n", q[a + r], graph.vectors[p].astype(np.float64))
-            order = np.lexsort((graph.ids[p], -score, r))
-            r, p, score = r[order], p[order], score[order]
-            first = np.arange(len(r)) - np.searchsorted(r, r) <= k
-            askers.append(names[a + r[first]])
-            found.append(graph.ids[p[first]])
-            scores.append(score[first])
-        return pa.table({"asker": np.concatenate(askers), "entry": np.concatenate(found), "score": np.concatenate(scores)})
-
-    met = questions.union(graphs).groupBy("shard", "block").applyInArrow(walk, "asker long, entry long, score double")
+    nothing = F.lit(None)
+    questions = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "entry", "v", nothing.cast("binary").alias("graph"))
+    graphs = index.select("shard", nothing.cast("long").alias("entry"), nothing.cast(kind).alias("v"), "graph")
+    told = "asker long, entry long, score double"
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
+        for batch in batches:
+            packed = batch.column("graph").drop_null()
+            graph = Graph.unpack(packed[0].as_py()) if len(packed) else graph
+            asks = batch.filter(batch.column("entry").is_valid())
+            if graph is None or not asks.num_rows:
+                continue
+            names, q = asks.column("entry").to_numpy(), _matrix(asks.column("v"), width)
+            for a in range(0, len(q), QUERY_BLOCK):
+                place, _ = graph.search(q[a : a + QUERY_BLOCK], k + 1)
+                r, c = np.nonzero(place >= 0)
+                p = place[r, c]
+                score = np.einsum("nd,nd->n", q[a + r], graph.vectors[p].astype(np.float64))
+                order = np.lexsort((graph.ids[p], -score, r))
+                r, p, score = r[order], p[order], score[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) <= k
+                yield pa.RecordBatch.from_arrays([pa.array(names[a + r[first]]), pa.array(graph.ids[p[first]]), pa.array(score[first])], ["asker", "entry", "score"])
+
+    # a shard is a partition: its graph comes first and stays while the queries pass
+    met = questions.union(graphs).repartitionById(shards, F.col("shard")).sortWithinPartitions(F.col("graph").isNull()).mapInArrow(walk, told)
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "entry"))).where(F.col("r") <= k + 1).drop("r")
     # ids for entries, then queries for askers; an asker's own ids may be among them
     named = best.join(copies, "entry").select("asker", F.col("id").alias("vec_id"), "score")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from medlar.llm import nearest as NN
@@ -33,6 +34,39 @@ def test_recall_on_the_table(spark):
     assert hits >= 0.95 * sum(map(len, expected.values()))
 
 
+def vectors(kind, n, width=64):
+    """Rows of equal scale, with log-normal norms, or in clusters of 250."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, width))
+    if kind == "clusters":
+        return rng.normal(size=(n // 250, width))[np.arange(n) % (n // 250)] + 0.3 * x
+    return x if kind == "gauss" else x / np.linalg.norm(x, axis=1)[:, None] * np.exp({"uneven": 0.5, "wild": 1.0}[kind] * rng.normal(size=(n, 1)))
+
+
+@pytest.mark.parametrize(("kind", "n"), [("uneven", 16_000), ("gauss", 64_000), ("clusters", 16_000)])
+def test_recall_over_shards(spark, kind, n):
+    x = vectors(kind, n).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.reshape(-1), 64).cast(pa.list_(pa.float32()))}))
+    got = answers(df)
+    assert len(got) == n // 20
+    hits = 0
+    for q, found in got.items():
+        score = (x @ x[q]).astype(np.float64)
+        score[q] = -np.inf
+        hits += len({v for v, _ in found} & set(np.argpartition(-score, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
+@pytest.mark.parametrize("kind", ["uneven", "wild", "gauss", "clusters"])
+def test_recall_in_a_full_shard(kind):
+    x = vectors(kind, NN.SHARD_ROWS + 2_000).astype(np.float32)
+    graph, q = NN.Graph(np.arange(NN.SHARD_ROWS), x[: NN.SHARD_ROWS]), x[NN.SHARD_ROWS :][:500]
+    place, value = graph.search(q, 20)
+    found = np.take_along_axis(place, np.argsort(-value, axis=1)[:, :20], 1)
+    true = np.argpartition(-(q @ graph.vectors.T), 20, axis=1)[:, :20]
+    assert sum(len(set(a) & set(b)) for a, b in zip(found.tolist(), true.tolist(), strict=True)) >= 0.9 * 20 * len(q)
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_norms_copies_and_ties(spark, kind):
     rng = np.random.default_rng(3)
