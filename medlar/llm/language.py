@@ -28,7 +28,9 @@ LEXICON = 4_096
 LONGEST = 4
 #: Words of a block of forward-backward.
 BLOCK = 64
-#: Bounds of what is learned from: documents of each language, and bytes of all texts together.
+#: Bounds of what is learned from: languages, documents of each, and bytes of all texts together. A language has an equal
+#: share of the bytes, and a text of more than about a sixteenth of that isn't drawn if the language has shorter ones.
+LANGUAGES = 1_000
 ROWS_PER_LANGUAGE = 400
 BYTES = 24 << 20
 EPOCHS = 3
@@ -220,19 +222,36 @@ def fit(docs: DataFrame, rows: Column | None = None, per_language: int = ROWS_PE
     """Train on documents with a language and send the model to the executors.
 
     ``docs`` needs doc_id, text and lang; ``rows`` restricts what is learned from. Of each language about
-    ``per_language`` documents are used, chosen by a seeded hash of id and text, equal texts once, and of these whole texts
-    up to ``most_bytes`` together; the model's size is fixed. Null texts and languages are not used, nor languages beyond
-    the 1,000 most frequent.
+    ``per_language`` documents are used, chosen by a seeded hash of id and text, equal texts once, whole texts of about
+    ``most_bytes`` together, an equal share for each language; the model's size is fixed. Texts that are long for a share
+    are passed over for others; where a language has no others, its shortest that fit the share are used. Not used are
+    null texts and languages, languages beyond the LANGUAGES most frequent, and those without a text that fits the share.
     """
-    known = docs.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
+    step = F.floor(F.log2(F.octet_length("text") + 1)).cast("int").alias("step")
+    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), step).dropna(subset=["text", "lang"])
     if rows is not None:
         known = known.where(rows)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000)
+    sizes: dict[str, dict[int, int]] = {}
+    steps = known.groupBy("lang", "step").agg(F.count("*").alias("n"))
+    kept = steps.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(LANGUAGES)
+    for lang, at, n in steps.join(F.broadcast(kept), "lang").select("lang", "step", "n").collect():  # 31 of each at most
+        sizes.setdefault(lang, {})[at] = n
+    share = most_bytes // max(len(sizes), 1)
+    plan = []
+    for lang, of in sorted(sizes.items()):
+        top = max((at for at in of if 2 ** (at + 1) <= share // 16), default=min(of))
+        if 2**top <= share:
+            plan.append((lang, top, sum(n for at, n in of.items() if at <= top)))
+    plan = docs.sparkSession.createDataFrame(plan, "lang string, top int, n long")
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000))
-    drawn = known.join(F.broadcast(sizes), "lang").where(draw * F.col("n") < per_language * 1_000_000).select("text", "lang").dropDuplicates()
-    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "text"), "text", "lang").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = drawn.withColumn("bytes", F.octet_length("text")).withColumn("sum", F.sum("bytes").over(order)).where(F.col("sum") <= most_bytes)
-    got = drawn.select("text", "lang").toArrow()
+    drawn = known.join(F.broadcast(plan), "lang").where((F.col("step") <= F.col("top")) & (draw * F.col("n") < per_language * 1_000_000))
+    # ids and sizes are put in order, texts are fetched afterwards
+    key = F.xxhash64(F.lit(seed + 1), "text")
+    short = drawn.select("lang", key.alias("key"), F.octet_length("text").alias("bytes")).distinct()
+    order = Window.partitionBy("lang").orderBy("key", "bytes").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("ahead", F.coalesce(F.sum("bytes").over(order), F.lit(0))).where(F.col("ahead") < share)
+    drawn = known.withColumn("key", key).join(F.broadcast(short.select("lang", "key")), ["lang", "key"]).groupBy("lang", "key").agg(F.first("text").alias("text"))
+    got = drawn.orderBy("key", "lang").select("text", "lang").toArrow()
     model = LanguageField.fit(got["text"].combine_chunks() if len(got) else pa.array([], pa.string()), got["lang"].to_pylist())
     return docs.sparkSession.sparkContext.broadcast(model)
 

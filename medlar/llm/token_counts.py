@@ -1,8 +1,9 @@
 """Token counts by a two-tier lookup of pre-tokens, without a shuffle.
 
-A table of the lengths of frequent pre-tokens, made from a few documents and bounded in entries, is broadcast. A worker
-splits its texts into pre-tokens with the tokenizer's own pattern, takes their lengths from the table and encodes what
-the table misses, each once, keeping it in a bounded cache. What the table holds never changes a count.
+A table of the lengths of frequent pre-tokens, counted where they stand in a seeded sample of all documents and bounded in
+entries and bytes, is broadcast. A worker splits its texts into pre-tokens with the tokenizer's own pattern, takes their
+lengths from the table and encodes what the table misses, each once, keeping it in a bounded cache; long pre-tokens are
+encoded each time and never kept. What the table holds never changes a count.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import os
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -24,8 +24,12 @@ from medlar.llm.shared import free_name
 #: Entries of the broadcast table, and of what a worker keeps besides it.
 TABLE = 32_768
 CACHE = 200_000
-#: Documents that the table is made from.
+#: Characters of a pre-token that is kept, at most: with the numbers of entries this bounds bytes.
+KEPT = 64
+#: Documents that the table is made from, about, and pre-tokens that a task counts at once.
 SAMPLE = 2_000
+COUNTED = 500_000
+SEED = 5
 #: Up to here the pattern's classes are the same in every version of Unicode that libraries have.
 _PLAIN = 0x530
 
@@ -73,8 +77,12 @@ class Encoder:
         for p in parts:
             missing.update(p)
         new = list(missing.difference(known))
-        known.update(zip(new, self.whole(new), strict=True))
+        sizes = dict(zip(new, self.whole(new), strict=True))
+        known.update(sizes)
         found = [sum(map(known.__getitem__, p)) for p in parts]
+        for t in new:
+            if len(t) > KEPT:
+                del known[t]
         at = [i for i, o in enumerate(odd) if o]
         for i, n in zip(at, self.whole([texts[i] for i in at]), strict=True):
             found[i] = n
@@ -94,21 +102,37 @@ def _batches(texts: list[str], most: int) -> Iterator[list[str]]:
         yield held
 
 
-def frequent_lengths(docs: DataFrame, path: str, pattern: str, entries: int = TABLE, sample: int = SAMPLE) -> Broadcast:
-    """The first tier: lengths of the most frequent pre-tokens of at most ``sample`` documents, at most ``entries``."""
+def frequent_lengths(docs: DataFrame, path: str, pattern: str, entries: int = TABLE, sample: int = SAMPLE, seed: int = SEED) -> Broadcast:
+    """The first tier: lengths of the most frequent pre-tokens of about ``sample`` documents, at most ``entries`` of them.
+
+    The documents are drawn from all of ``docs`` by a seeded sample; their pre-tokens are counted by the tasks that read
+    them and summed by pre-token, so no document leaves its task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = Encoder.of(path, pattern), Counter()
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["t", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text and not encoder.odd(text):
-                    seen.update(encoder.split(text))
-        top = [t for t, _ in seen.most_common(entries)]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(encoder.whole(top), pa.int32())], ["t", "n"])
+                    seen.update(t for t in encoder.split(text) if len(t) <= KEPT)
+                    if len(seen) > COUNTED:
+                        yield counted()
+                        seen.clear()
+        if seen:
+            yield counted()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(path, pattern)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(encoder.whole(batch.column(0).to_pylist()), pa.int32())], ["t", "n"])
 
-    got = docs.select("text").limit(sample).coalesce(1).mapInArrow(count, "t string, n int").toArrow()
-    table = dict(islice(zip(got["t"].to_pylist(), got["n"].to_pylist(), strict=True), entries))
-    return docs.sparkSession.sparkContext.broadcast(table)
+    drawn = docs.select("text").sample(fraction=min(1.0, sample / max(docs.count(), 1)), seed=seed)
+    often = drawn.mapInArrow(count, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(entries)
+    got = often.select("t").mapInArrow(encode, "t string, n int").toArrow()
+    return docs.sparkSession.sparkContext.broadcast(dict(zip(got["t"].to_pylist(), got["n"].to_pylist(), strict=True)))
 
 
 def with_token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", name: str = "n_tokens") -> tuple[DataFrame, str]:

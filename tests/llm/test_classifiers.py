@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,32 +14,62 @@ from medlar.llm import importance, language, toxicity
 from medlar.llm.shared import text_bytes
 
 
-def test_kneser_ney_sums_to_one():
-    col = pa.array(["the cat sat on the mat", "the dog sat on the log", "a vile rotten cat"] * 5)
-    k, n = toxicity.count_keys(col.slice(0, 10))
-    k2, n2 = toxicity.count_keys(col.slice(2, 13))
-    keys = np.union1d(k, k2)
-    at = np.zeros((2, len(keys)))
-    at[0, np.searchsorted(keys, k)], at[1, np.searchsorted(keys, k2)] = n, n2
-    model = toxicity.KneserNeyPair.fit(keys, *at)
-    for context in (b" ", b" t", b" th", b"t", b"zz"):
-        head = np.uint64(int.from_bytes(context, "big")) << np.uint64(8)
-        every = head + np.arange(256, dtype=np.uint64)
-        low = np.full(256, 1 / 256)
-        for order in range(1, len(context) + 2):
-            levels = model.shared if order < toxicity.OWN else model.toxic
-            low = levels[order].mix(every & toxicity._mask(order), low)
-        assert low.sum() == pytest.approx(1)
-
-
-def test_toxicity_on_held_out_rows(spark, documents):
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+def plain_models(texts, toxic):
+    """The two models of small texts by the formulas, word for word, as functions of (class, word before, word)."""
+    words = [re.findall("[a-z]+", t.lower()) for t in texts]
+    single = [Counter(w for x, y in zip(words, toxic, strict=True) if y == c for w in set(x)) for c in (0, 1)]
+    double = [Counter(p for x, y in zip(words, toxic, strict=True) if y == c for p in set(zip(["", *x], x, strict=False))) for c in (0, 1)]
+    d, vocabulary = toxicity.DISCOUNT, set(single[0]) | set(single[1])
+    spread = len(single[0]) + len(single[1])
+
+    def shared(w):
+        own = lambda x: max((single[0][x] > 0) + (single[1][x] > 0) - d, 0) / spread
+        return own(w) + (1 - sum(map(own, vocabulary))) / (len(vocabulary) + 1)
+
+    def unigram(c, w):
+        total = sum(single[c].values())
+        left = 1 - sum(max(n - d, 0) for n in single[c].values()) / total
+        return max(single[c][w] - d, 0) / total + left * shared(w)
+
+    often = {p for p in set(double[0]) | set(double[1]) if double[0][p] + double[1][p] >= toxicity.PAIR_TEXTS}
+
+    def bigram(c, v, w):
+        total = sum(n for (x, _), n in double[c].items() if x == v)
+        kept = {y: max(double[c][v, y] - d, 0) / max(total, 1) for x, y in often if x == v}
+        return kept.get(w, 0) + (1 - sum(kept.values())) * unigram(c, w)
+
+    return unigram, bigram, vocabulary
+
+
+def test_toxicity_models_against_the_formulas(spark):
+    good, bad = ["The cat sat on the mat", "the dog sat on the log", "a cat and a dog", "the cat sat", "on the mat the dog"], ["a vile rotten cat", "you vile dog", "the rotten log you vile"]
+    texts = [f"{t} w{chr(97 + i)}" for i in range(12) for t in good + bad]
+    rows = [(i, t, int(any(x in t for x in bad))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic")).value
+    part = docs.selectExpr("text", "toxic", "pmod(xxhash64(18, text), 5) = 0 AS held").collect()
+    learned = [r for r in part if not r["held"]]
+    unigram, bigram, vocabulary = plain_models([r["text"] for r in learned], [r["toxic"] for r in learned])
+    for c in (0, 1):
+        assert sum(unigram(c, w) for w in vocabulary) + unigram(c, "nowhere") == pytest.approx(1)
+    for text in ["the cat sat on vile mats", "You VILE rotten thing, you vile!", "nowhere", ""]:
+        words = re.findall("[a-z]+", text.lower())
+        for order, share in [(1, 0.01), (2, 0.001), (2, 0.03)]:
+            seen = set(words) if order == 1 else set(zip(["", *words], words, strict=False))
+            p = lambda c, e: unigram(c, e) if isinstance(e, str) else bigram(c, *e)
+            sides = [sum(math.log(p(0, e)) for e in seen), sum(math.log(share * p(1, e) + (1 - share) * p(0, e)) for e in seen)]
+            expected = (sides[1] - sides[0]) / max(len(seen), 1)
+            assert model.text_evidence(pa.array([text]), [(order, share)])[0, 0] == pytest.approx(expected, rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize(("sf", "least"), [("0.01", 0.75), ("0.1", 0.9)])
+def test_toxicity_on_held_out_rows(spark, sf, least):
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.toxicity_scores(documents, labels)
     assert scored.count() == documents.count()
-    met = scored.join(labels, "doc_id").where("held_out").selectExpr("avg(int(predicted = toxic)) AS right", "min(score) AS low", "max(score) AS high").first()
-    assert met["right"] > 0.85
-    assert met["low"] >= 0
-    assert met["high"] <= 1
+    met = scored.join(labels, "doc_id").where("held_out").groupBy("toxic").agg({"predicted": "avg"}).collect()
+    share = {r["toxic"]: r["avg(predicted)"] for r in met}
+    assert (share[1] + 1 - share[0]) / 2 > least  # a model that gives one answer has a half
 
 
 def test_toxicity_edges(edge, none, labels):
@@ -134,6 +168,20 @@ def test_language_on_held_out_rows(documents):
     assert met.selectExpr("avg(int(lang = lang_pred)) AS right").first()["right"] > 0.95
 
 
+def test_a_long_text_does_not_end_the_sample(spark):
+    """Wherever it stands in the order, a text that is too long for the sample leaves the others in it."""
+    words = {"de": "der und die ung keit schon", "en": "the and thing tion was with"}
+    for i in range(3):
+        rows = [(i, f"{words[lang]} {i}", lang) for i in range(100) for lang in words]
+        df = spark.createDataFrame([*rows, (1_000 + i, "das ist sehr lang " * 60_000, "de")], "doc_id long, text string, lang string")
+        model = language.fit(df, most_bytes=1 << 20, seed=i).value
+        assert model.languages == ["de", "en"]
+        assert np.abs(model.weights).max() > 0
+    only = spark.createDataFrame([(1, "eins zwei drei " * 30_000, "de"), (2, "one two", "en"), (3, "three four", "en")], "doc_id long, text string, lang string")
+    assert language.fit(only, most_bytes=4 << 20).value.languages == ["de", "en"]
+    assert language.fit(only, most_bytes=1 << 18).value.languages == ["en"]
+
+
 def test_language_edges(edge, none):
     rows = language.language_report(edge).collect()
     assert len(rows) == edge.count()

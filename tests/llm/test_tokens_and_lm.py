@@ -28,7 +28,7 @@ def check_tokens(df):
 
 
 def test_tokens_as_the_library_counts_them(documents, edge, none):
-    check_tokens(documents.limit(300))
+    check_tokens(documents)
     check_tokens(edge)
     assert token_counts.token_report(none, PATH, PATTERN).count() == 0
     assert token_counts.with_token_counts(edge, PATH, PATTERN)[1] == "n_tokens_"
@@ -42,6 +42,21 @@ def test_tokens_with_a_full_cache(documents, monkeypatch):
         assert encoder.counts(texts, {" two": 1}) == encoder.whole(texts)
 
 
+def test_long_pretokens_are_counted_and_not_kept():
+    encoder = token_counts.Encoder(PATH, PATTERN)
+    texts = ["x" * 5_000 + " one", "x" * 5_000, "one " + "ab" * 40]
+    for _ in range(2):
+        assert encoder.counts(texts, {}) == encoder.whole(texts)
+    assert max(map(len, encoder.known)) <= token_counts.KEPT
+
+
+def test_the_table_is_bounded_and_from_all_documents(spark):
+    df = spark.createDataFrame([("aa bb " * 5,)] * 200 + [("cc " * 50 + "d" * 100,)] * 200, "text string").repartition(4)
+    table = token_counts.frequent_lengths(df, PATH, PATTERN, entries=3, sample=400).value
+    assert set(table) == {" cc", " bb", " aa"}
+    assert len(token_counts.frequent_lengths(df, PATH, PATTERN, sample=400).value) < 12
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     model = GatedModel(1, hidden=5)
