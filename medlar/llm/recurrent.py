@@ -17,7 +17,7 @@ END = 0
 WINDOW = 32
 STREAMS = 64
 #: Texts that run side by side where a task learns its share of a corpus.
-WIDE = 256
+WIDE = 128
 
 _F = np.float32
 
@@ -26,9 +26,22 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax(x: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, ln P of the wanted column of each row), in place of ``x``. Exponents are held below what single
+    precision overflows at, instead of looking for each row's largest."""
+    np.minimum(x, 60, out=x)
+    likely = x[rows, wanted]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x *= (1 / total)[:, None]
+    return x, likely - np.log(total)
+
+
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order that sorts by class, and (class, begin, end) of the classes that there are."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    border = np.searchsorted(group[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip(border, border[1:], strict=False)) if a < b]
 
 
 class Adam:
@@ -86,64 +99,73 @@ class GatedModel:
         """ln P(token | state): its class's and its own within the class."""
         group, own = token // CLASSES, token % CLASSES
         rows = np.arange(len(token))
-        out = _log_softmax(h @ self.p["c"] + self.p["cb"])[rows, group]
-        order = np.argsort(group, kind="stable")
-        border = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            at = order[border[g] : border[g + 1]]
-            if len(at):
-                out[at] += _log_softmax(h[at] @ self.p["w"][g] + self.p["wb"][g])[np.arange(len(at)), own[at]]
+        out = _softmax(h @ self.p["c"] + self.p["cb"], rows, group)[1]
+        order, parts = _by_class(group)
+        out[order] += _softmax(self._within(h[order], parts), rows, own[order])[1]
+        return out
+
+    def _within(self, states: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of the outputs in each state's class, for states sorted by class."""
+        out = np.empty((len(states), CLASSES), states.dtype)
+        for k, a, b in parts:
+            np.matmul(states[a:b], self.p["w"][k], out=out[a:b])
+            out[a:b] += self.p["wb"][k]
         return out
 
     def _window(self, h: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], float]:
         """State after a window, gradients of the mean loss, and the loss. A state is cleared where the input is END."""
         d, p = self.hidden, self.p
         steps, n = inputs.shape
-        before, kept = [], []
+        cleared = [np.flatnonzero(row) for row in inputs == END]
+        taken = p["x"][inputs]
+        shape, kind = (steps, n, d), taken.dtype
+        before, after, z, r, c = (np.empty(shape, kind) for _ in range(5))
         for t in range(steps):
-            h = np.where((inputs[t] == END)[:, None], _F(0), h)
-            before.append(h)
-            h, z, r, c = self.step(h, inputs[t])
-            kept.append((z, r, c, h))
+            before[t] = h
+            before[t, cleared[t]] = 0
+            h = before[t]
+            gates = _sigmoid(taken[t, :, : 2 * d] + h @ p["u"])
+            z[t], r[t] = gates[:, :d], gates[:, d:]
+            np.tanh(taken[t, :, 2 * d :] + (r[t] * h) @ p["v"], out=c[t])
+            after[t] = h + z[t] * (c[t] - h)
+            h = after[t]
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        states, target = np.concatenate([k[3] for k in kept]), targets.reshape(-1)
+        states, target = after.reshape(-1, d), targets.reshape(-1)
         group, own, rows = target // CLASSES, target % CLASSES, np.arange(len(target))
-        first = _log_softmax(states @ p["c"] + p["cb"])
-        loss = -first[rows, group].sum()
-        error = np.exp(first)
+        error, likely = _softmax(states @ p["c"] + p["cb"], rows, group)
+        loss = -likely.sum()
         error[rows, group] -= 1
         error /= len(target)
-        g["c"], g["cb"] = states.T @ error, error.sum(0)
+        ones = np.ones(len(target), kind)
+        g["c"], g["cb"] = states.T @ error, ones @ error
         back = error @ p["c"].T
-        for k in range(CLASSES):
-            at = np.flatnonzero(group == k)
-            if len(at):
-                second = _log_softmax(states[at] @ p["w"][k] + p["wb"][k])
-                loss -= second[np.arange(len(at)), own[at]].sum()
-                error = np.exp(second)
-                error[np.arange(len(at)), own[at]] -= 1
-                error /= len(target)
-                g["w"][k], g["wb"][k] = states[at].T @ error, error.sum(0)
-                back[at] += error @ p["w"][k].T
-        back = back.reshape(steps, n, d)
-        dh = np.zeros((n, d), _F)
-        dx = np.empty((steps, n, 3 * d), _F)
+        order, parts = _by_class(group)
+        sorted_states = states[order]
+        error, likely = _softmax(self._within(sorted_states, parts), rows, own[order])
+        loss -= likely.sum()
+        error[rows, own[order]] -= 1
+        error /= len(target)
+        inner = np.empty_like(sorted_states)
+        for k, a, b in parts:
+            g["w"][k], g["wb"][k] = sorted_states[a:b].T @ error[a:b], ones[a:b] @ error[a:b]
+            np.matmul(error[a:b], p["w"][k].T, out=inner[a:b])
+        back[order] += inner
+        back = back.reshape(shape)
+        to_new, to_update, to_reset, stays = z * (1 - c * c), (c - before) * z * (1 - z), before * r * (1 - r), 1 - z
+        u_back, v_back = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["v"].T)
+        dh, dx = np.zeros((n, d), kind), np.empty((steps, n, 3 * d), kind)
         for t in range(steps - 1, -1, -1):
-            z, r, c, _ = kept[t]
-            h0 = before[t]
             dh = dh + back[t]
-            dn = dh * z * (1 - c * c)
-            dz = dh * (c - h0) * z * (1 - z)
-            drh = dn @ p["v"].T
-            dr = drh * h0 * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            g["v"] += (r * h0).T @ dn
-            g["u"] += h0.T @ dx[t, :, : 2 * d]
-            dh = dh * (1 - z) + drh * r + dx[t, :, : 2 * d] @ p["u"].T
-            dh = np.where((inputs[t] == END)[:, None], _F(0), dh)
-        order = np.argsort(inputs.reshape(-1), kind="stable")
+            dn = dh * to_new[t]
+            drh = dn @ v_back
+            dx[t, :, :d], dx[t, :, d : 2 * d], dx[t, :, 2 * d :] = dh * to_update[t], drh * to_reset[t], dn
+            dh = dh * stays[t] + drh * r[t] + dx[t, :, : 2 * d] @ u_back
+            dh[cleared[t]] = 0
+        moves = dx.reshape(-1, 3 * d)
+        g["u"], g["v"] = before.reshape(-1, d).T @ moves[:, : 2 * d], (r * before).reshape(-1, d).T @ moves[:, 2 * d :]
+        order = np.argsort(inputs.reshape(-1).astype(np.uint16), kind="stable")
         tokens, first_at = np.unique(inputs.reshape(-1)[order], return_index=True)
-        g["x"][tokens] = np.add.reduceat(dx.reshape(-1, 3 * d)[order], first_at, axis=0)
+        g["x"][tokens] = np.add.reduceat(moves[order], first_at, axis=0)
         return h, g, float(loss) / len(target)
 
     def fit(self, tokens: np.ndarray, epochs: int = 1, rate: float = 0.008) -> list[float]:
