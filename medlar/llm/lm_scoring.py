@@ -102,23 +102,12 @@ class Scorer:
 
     def tokens(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(outputs of the texts behind one another, each ended by END; their lengths) by chunks of texts."""
-        for a, b, counts, word, sort in _texts(col):
-            tokens = np.full(len(word) + b - a, END, np.int32)
-            tokens[np.arange(len(word)) + np.repeat(np.arange(b - a), counts)] = self.lookup(word, sort)[1]
-            yield tokens, counts + 1
-
-    def score(self, col: pa.Array) -> Iterator[dict[str, np.ndarray]]:
-        """By groups of texts: what is known of them without the rare words, and the rare words with their numbers."""
-        held: list[tuple] = []
-        for x in self._pieces(col):
-            held.append(x)
-            if sum(len(h[0]) for h in held) >= 1_500_000:
-                yield self._run(held)
-                held = []
-        if held:
-            yield self._run(held)
+        for x in self.encode(col):
+            yield x["tokens"], x["n"]
 
-    def _pieces(self, col: pa.Array) -> Iterator[tuple]:
+    def encode(self, col: pa.Array) -> Iterator[dict[str, np.ndarray]]:
+        """By chunks of texts: outputs, lengths, what is known of base and score without rare words and the recurrent model,
+        and the rare words with their numbers."""
         floor = np.log10(self.total + 0.5 * (self.distinct + 1))
         end = np.log10(self.ends + 0.5)
         for a, b, counts, word, sort in _texts(col):
@@ -130,7 +119,7 @@ class Scorer:
             known = np.bincount(owner, count > 0, b - a).astype(np.int64) + (self.ends > 0)
             spread = output >= OUTPUTS - BUCKETS
             share = np.bincount(owner, np.where(spread, heavy - self.rest[sort], 0), b - a)
-            tokens = np.full(len(word) + b - a, END, np.int32)
+            tokens = np.full(len(word) + b - a, END, np.uint16)
             tokens[np.arange(len(word)) + owner] = output
             whose, rest = owner[rare], word[rare]
             order = np.lexsort((rest, whose))
@@ -138,47 +127,31 @@ class Scorer:
             new = np.ones(len(rest), bool)
             new[1:] = (rest[1:] != rest[:-1]) | (whose[1:] != whose[:-1])
             at = np.flatnonzero(new)
-            yield tokens, counts + 1, base, known, share, whose[at], rest[at], np.diff(np.append(at, len(rest)))
-
-    def _run(self, held: list[tuple]) -> dict[str, np.ndarray]:
-        tokens, counts, base, known, share = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
-        shift = np.cumsum([0, *(len(h[1]) for h in held)])
-        whose = np.concatenate([h[5] + s for h, s in zip(held, shift, strict=False)])
-        model = self.model.text_log_probabilities(tokens, counts) / np.log(10)
-        return {"n": counts, "base": base, "known": known, "score": model + share, "whose": whose, "word": np.concatenate([h[6] for h in held]), "times": np.concatenate([h[7] for h in held])}
+            yield {"tokens": tokens, "n": counts + 1, "base": base, "known": known, "share": share, "whose": whose[at], "word": rest[at], "times": np.diff(np.append(at, len(rest)))}
 
 
 def _start(texts: DataFrame, total: int, scorer: Scorer, rows: int, most_bytes: int, seed: int) -> None:
     """Fit the recurrent model on a sample of the texts, up to ``most_bytes`` together. Of a text the first sixteenth of
     that many characters counts at most, so that no text ends the sample or fills it."""
     key = F.xxhash64(F.lit(seed), "text")
-    drawn = texts.where(F.pmod(key, F.lit(1_000_000)) < F.lit(min(1.0, rows / max(total, 1)) * 1_000_000)).select(F.substring("text", 1, most_bytes // 16).alias("text"))
-    drawn = drawn.dropDuplicates(["text"]).limit(4 * rows)
-    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "text"), "text").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = drawn.withColumn("bytes", F.octet_length("text")).withColumn("sum", F.sum("bytes").over(order)).where(F.col("sum") <= most_bytes)
+    drawn = texts.where(F.pmod(key, F.lit(1_000_000)) < F.lit(min(1.0, rows / max(total, 1)) * 1_000_000)).select(key.alias("key"), F.substring("text", 1, most_bytes // 16).alias("text"))
+    # keys and sizes are put in order, texts are fetched afterwards
+    sizes = drawn.select("key", F.octet_length("text").alias("bytes")).distinct().limit(4 * rows)
+    order = Window.orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("sum", F.sum("bytes").over(order)).where(F.col("sum") <= most_bytes)
+    drawn = drawn.join(F.broadcast(sizes.select("key")), "key").groupBy("key").agg(F.first("text").alias("text")).orderBy("key")
     got = drawn.select("text").toArrow()["text"].combine_chunks()
     rows_of = [x for x, _ in scorer.tokens(got)] if len(got) else []
-    scorer.model.fit(np.concatenate([np.array([END], np.int32), *rows_of]))
+    scorer.model.fit(np.concatenate([np.array([END], np.int32), *rows_of]).astype(np.int32))
 
 
-def _train(texts: DataFrame, size: int, scorer: Scorer, seed: int) -> None:
-    """Go on with the recurrent model over all of the texts (key, text) of ``size`` bytes."""
-    sc = texts.sparkSession.sparkContext
+def _train(encoded: DataFrame, size: int, scorer: Scorer, seed: int) -> None:
+    """Go on with the recurrent model over all of the encoded texts (key, tokens), of ``size`` bytes as text."""
+    sc = encoded.sparkSession.sparkContext
     names, shapes = list(scorer.model.p), [x.shape for x in scorer.model.p.values()]
     borders = np.cumsum([int(np.prod(x)) for x in shapes])
-    known = sc.broadcast(scorer)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, at = batch.column(0), 0
-            for tokens, counts in known.value.tokens(batch.column(1)):
-                offsets = np.concatenate([[0], np.cumsum(2 * counts)]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(tokens.astype(np.uint16))])
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(counts)), packed], ["key", "tokens"])
-                at += len(counts)
-
     shards = max(1, -(-size // SHARD_BYTES))
-    dealt = cut(texts.select("key", "text").mapInArrow(encode, "key long, tokens binary").repartition(shards, "key").sortWithinPartitions("key", "tokens"))
+    dealt = cut(encoded.select("key", "tokens").repartition(shards, "key").sortWithinPartitions("key", "tokens"))
 
     for turn in range(ROUNDS):
         flat = np.concatenate([x.reshape(-1) for x in scorer.model.p.values()])
@@ -189,7 +162,7 @@ def _train(texts: DataFrame, size: int, scorer: Scorer, seed: int) -> None:
             model.p = {k: x.reshape(shape).copy() for k, x, shape in zip(names, np.split(send.value, borders[:-1]), shapes, strict=True)}
             adam = Adam(model.p)
             for batch in batches:
-                held.append(text_bytes(batch.column(0).cast(pa.binary()))[0].view(np.uint16).astype(np.int32))
+                held.append(text_bytes(batch.column(0))[0].view(np.uint16).astype(np.int32))
                 if sum(map(len, held)) >= HELD:
                     tokens, held = np.concatenate(held), []
                     for a in range(0, len(tokens), HELD):
@@ -220,7 +193,6 @@ def _train(texts: DataFrame, size: int, scorer: Scorer, seed: int) -> None:
             flat = (flat + np.concatenate([np.array(x["sums"]) / x["seen"] for x in got])).astype(np.float32)
             scorer.model.p = {k: x.reshape(shape) for k, x, shape in zip(names, np.split(flat, borders[:-1]), shapes, strict=True)}
         send.unpersist()
-    known.unpersist()
 
 
 def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, frequent: int = FREQUENT, rows: int = ROWS, most_bytes: int = BYTES, seed: int = 10) -> DataFrame:
@@ -232,7 +204,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, frequent: int
     """
     out = fold(F.col("doc_id"), folds) == held_out
     text = F.coalesce("text", F.lit(""))
-    learned = docs.where(~out).select(F.xxhash64(F.lit(seed + 2), "doc_id", text).alias("key"), text.alias("text"))
+    key = F.xxhash64(F.lit(seed + 2), "doc_id", text)
+    learned = docs.where(~out).select(text.alias("text"))
     vocabulary = cut(word_counts(learned.select("text")))
     ends, size = learned.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     sums = vocabulary.groupBy("sort").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
@@ -258,34 +231,46 @@ def lm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, frequent: int
     model = GatedModel(seed)
     model.start(own)
     scorer = Scorer(word, count, outputs, total, distinct, ends, np.log10(in_sort + 0.5 * (types + 1)), model)
-    _start(learned.select("text"), ends, scorer, rows, most_bytes, seed)
-    _train(learned, size, scorer, seed)
-    send = docs.sparkSession.sparkContext.broadcast(scorer)
+    sc, kind = docs.sparkSession.sparkContext, docs.schema["doc_id"].dataType.simpleString()
+    known = sc.broadcast(scorer)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, at = batch.column(0), batch.column(2), 0
-            for x in send.value.score(batch.column(1)):
+            at = 0
+            for x in known.value.encode(batch.column("text")):
                 n = len(x["n"])
-                offsets = np.searchsorted(x["whose"], np.arange(n + 1)).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(2 * x["n"])])
+                packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(x["tokens"])]).cast(pa.binary())
+                begin = np.searchsorted(x["whose"], np.arange(n + 1)).astype(np.int32)
                 rare = pa.StructArray.from_arrays([pa.array(x["word"].view(np.int64)), pa.array(x["times"].astype(np.int64))], ["word", "times"])
-                columns = [ids.slice(at, n), hashes.slice(at, n), pa.array(x["n"].astype(np.int64)), pa.array(x["known"]), pa.array(x["base"]), pa.array(x["score"]), pa.ListArray.from_arrays(pa.array(offsets), rare)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "known", "base", "score", "rare"])
+                own = [batch.column(c).slice(at, n) for c in ("doc_id", "text_hash", "key")]
+                columns = [*own, pa.array(x["n"].astype(np.int64)), pa.array(x["known"]), pa.array(x["base"]), pa.array(x["share"]), packed, pa.ListArray.from_arrays(pa.array(begin), rare)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "key", "n", "known", "base", "share", "tokens", "rare"])
                 at += n
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
-        score, f"doc_id {kind}, text_hash long, n long, known long, base double, score double, rare array<struct<word: long, times: long>>"
-    )
-    scored = cut(scored)
-    rare = scored.where(F.size("rare") > 0).select("text_hash", F.explode("rare").alias("x")).select("text_hash", "x.word", "x.times").distinct()
+    fields = f"doc_id {kind}, text_hash long, key long, n long, known long, base double, share double"
+    encoded = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"), key.alias("key"))
+    encoded = cut(encoded.mapInArrow(encode, f"{fields}, tokens binary, rare array<struct<word: long, times: long>>"))
+    _start(learned.select("text"), ends, scorer, rows, most_bytes, seed)
+    _train(encoded.where(~out), size, scorer, seed)
+    send = sc.broadcast(scorer.model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = text_bytes(batch.column("tokens"))[0].view(np.uint16).astype(np.int32)
+            found = send.value.text_log_probabilities(tokens, batch.column("n").to_numpy()) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], [*batch.schema.names[:-1], "score"])
+
+    scored = encoded.select("doc_id", "text_hash", "n", "known", "base", "share", "tokens")
+    scored = scored.mapInArrow(score, f"{fields.replace('key long, ', '')}, score double")
+    rare = encoded.where(F.size("rare") > 0).select("text_hash", F.explode("rare").alias("x")).select("text_hash", "x.word", "x.times").distinct()
     few = vocabulary.where(F.col("n") < least).select("word", F.col("n").alias("c"))
     found = rare.join(few, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     heavy = F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("heavy")
     found = found.groupBy("text_hash").agg(heavy, F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"))
-    whole = scored.drop("rare").join(found, "text_hash", "left")
+    whole = scored.join(found, "text_hash", "left")
     more = F.coalesce("heavy", F.lit(0.0))
     return whole.select(
         "doc_id", out.alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + F.col("share") + more).alias("score"),
     )

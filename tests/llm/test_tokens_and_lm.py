@@ -129,6 +129,32 @@ def test_scores_over_whole_corpus_counts(documents, frequent):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_step_by_step(spark, monkeypatch):
+    """The whole way of a text's score, one word after another: class and output of each, a sort's share by count."""
+    kept = {}
+    train = lm_scoring._train
+    monkeypatch.setattr(lm_scoring, "_train", lambda encoded, size, scorer, seed: (train(encoded, size, scorer, seed), kept.update(scorer=scorer)))
+    texts = [" ".join(f"w{(i * i + k * (i % 7)) % 1500}" for k in range(i % 40)) for i in range(300)] + ["", "Unseen-Word w1 W1 unseen-word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in lm_scoring.lm_scores(df, frequent=700, rows=50).collect()}
+    scorer, low = kept["scorer"], str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = {i: t.translate(low).split() for i, t in enumerate(texts)}
+    count = Counter(w for i, words in split.items() for w in words if zlib.crc32(str(i).encode()) % 5 != 1)
+    for i, words in split.items():
+        h, last, total = np.zeros((1, lm_scoring.GatedModel().hidden), np.float32), np.array([0]), 0.0
+        for w in [*words, None]:
+            token, share = np.array([0]), 0.0
+            if w is not None:
+                _, hashed, sort = lm_scoring._words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+                token = scorer.lookup(hashed, sort)[1].astype(int)
+                if token[0] >= OUTPUTS - lm_scoring.BUCKETS:
+                    share = math.log10(count[w] + 0.5) - scorer.rest[sort[0]]
+            h = scorer.model.step(h, last)[0]
+            total += float(scorer.model.log_probability(h, token)[0]) / math.log(10) + share
+            last = token
+        assert rows[i]["score"] == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
 def test_score_edges(edge, none):
     rows = lm_scoring.lm_scores(edge, frequent=5).collect()
     assert len(rows) == edge.count()
