@@ -4,7 +4,9 @@ Numbers, names and units of a text become typed placeholders and the rest its lo
 a copy of it with other numbers or names have the same template. Windows of WINDOW template tokens are joined by hash.
 Matches with the same distance between the places in document and item belong to one passage; a passage counts if enough
 windows of the item follow one another in it and its slots are consistent: whatever stands in the item's slot, one value
-of the item always became the same value of the document. DataFrame operations only.
+of the item always became the same value of the document. Items of one template whose slots are alike and differ alike
+are one class, and only the class is matched, so a benchmark of many questions of one form makes no product of questions
+and documents. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlar.llm.shared import cut
+from medlar.llm.shared import cut, free_name, narrow
 
 WINDOW = 8
 #: Windows that must match on one passage, or all of the item's if it has fewer: 10 tokens in a row.
@@ -21,9 +23,6 @@ LEAST = 3
 WORDS = 4
 #: Share of an item's distinct slot values that must each map to a single value.
 CONSISTENT = 0.9
-#: Windows of the benchmark, and matched texts, up to these numbers are broadcast: 16 bytes each.
-BROADCAST_ROWS = 1_000_000
-
 # Units of measure.
 UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz pound pounds ounce ounces ton tons tonne tonnes ml l liter liters litre "
@@ -71,32 +70,39 @@ def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
     return placed.select(*keep, F.lit(size).alias("size"), "place", F.xxhash64(*[f"run.t{k}" for k in range(size)]).alias("window"))
 
 
-def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, at, window, slots, windows) of each window of each item that has words enough, the first of equal
-    ones of an item; a shorter item than a window is one window."""
-    items = benchmark.select("item_id", template(F.col("text"), values=True).alias("tokens"), template(F.col("text")).alias("shapes")).where("item_id IS NOT NULL")
-    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).where(f"size >= {WORDS}")
-    places = items.withColumn("at", F.explode(F.expr("sequence(0, size(tokens) - size)")))
-    part = places.withColumn("words", F.expr("slice(shapes, at + 1, size)")).withColumn("values", F.expr("slice(tokens, at + 1, size)"))
+def template_classes(benchmark: DataFrame) -> DataFrame:
+    """(item_id, class_item, shapes, pattern): the class of each item, named by its least item. Items of a class have equal
+    templates, and equal values at the same places: ``pattern`` has, for each slot, the first place of its value."""
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", template(F.col("text"), values=True).alias("tokens"), template(F.col("text")).alias("shapes"))
+    pattern = F.transform("tokens", lambda t: F.when(t.rlike("^[#@%]"), F.array_position("tokens", t).cast("int")).otherwise(0))
+    items = items.select("item_id", "shapes", pattern.alias("pattern"))
+    of = items.groupBy(F.xxhash64("shapes", "pattern").alias("form")).agg(F.min("item_id").alias("class_item"))
+    return items.withColumn("form", F.xxhash64("shapes", "pattern")).join(of, "form").drop("form")
+
+
+def _item_windows(classes: DataFrame) -> DataFrame:
+    """(item_id, size, at, window, values, slots, windows) of each window of each class that has words enough, the first of
+    equal ones of a class; a shorter item than a window is one window. ``values`` are parts of the pattern."""
+    items = classes.groupBy(F.col("class_item").alias("item_id")).agg(F.first("shapes").alias("shapes"), F.first("pattern").alias("pattern"))
+    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("shapes"))).where(f"size >= {WORDS}")
+    places = items.withColumn("at", F.explode(F.expr("sequence(0, size(shapes) - size)")))
+    part = places.withColumn("words", F.expr("slice(shapes, at + 1, size)")).withColumn("values", F.expr("slice(pattern, at + 1, size)"))
     kept = part.where(F.size(F.array_distinct(F.filter("words", lambda x: ~x.isin("#", "@", "%")))) >= WORDS)
-    kept = kept.withColumn("window", F.xxhash64("words")).withColumn("slots", F.exists("words", lambda x: x.isin("#", "@", "%")))
+    kept = kept.withColumn("window", F.xxhash64("words")).withColumn("slots", F.exists("values", lambda x: x > 0))
     first = kept.groupBy("item_id", "size", "window").agg(F.min(F.struct("at", "values", "slots")).alias("f"))
     counted = first.groupBy("item_id").agg(F.count("*").alias("windows"))
     return first.join(counted, "item_id").select("item_id", "size", "window", F.col("f.at").alias("at"), F.col("f.values").alias("values"), F.col("f.slots").alias("slots"), "windows")
 
 
-def _narrow(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(text_hash, item_id, windows, item_windows, slots, consistent) of each text that holds a passage of an item.
+    """(text_hash, item_id, windows, item_windows, slots, consistent) of each text that holds a passage of a class of items;
+    item_id is the class's least, ``template_classes`` says which others it stands for.
 
     ``docs`` needs text, ``benchmark`` item_id and text. Equal texts are looked at once. Null and empty texts and items
     hold nothing; items with under WORDS distinct words besides placeholders in every window can't be told from chance
     and match nothing. Empty tables give an empty result.
     """
-    items = cut(_item_windows(benchmark))
+    items = cut(_item_windows(template_classes(benchmark)))
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most WINDOW of them
     wanted = items.select("window").distinct()
     texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("shapes"))
@@ -104,19 +110,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for size in sizes or [WINDOW]:
         placed = _windows(texts, size, "text_hash")
         found = placed if found is None else found.union(placed)
-    found = cut(found.join(_narrow(wanted), "window").distinct())
+    found = cut(found.join(narrow(wanted), "window").distinct())
 
-    pairs = found.join(_narrow(items.select("item_id", "size", "window", "at", "windows")), ["size", "window"])
+    pairs = found.join(narrow(items.select("item_id", "size", "window", "at", "windows")), ["size", "window"])
     passages = pairs.groupBy("text_hash", "item_id", "size", (F.col("place") - F.col("at")).alias("shift")).agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    passages = passages.where(F.col("n") >= F.least(F.lit(LEAST), F.col("windows")))
+    passages = cut(passages.where(F.col("n") >= F.least(F.lit(LEAST), F.col("windows"))))
 
-    slotted = found.join(_narrow(items.where("slots").select("size", "window", "item_id", "at", "values")), ["size", "window"])
+    # slots only of what is a passage so far
+    slotted = found.join(narrow(items.where("slots").select("size", "window", "item_id", "at", "values")), ["size", "window"])
+    slotted = slotted.withColumn("shift", F.col("place") - F.col("at")).join(passages.select("text_hash", "item_id", "size", "shift"), ["text_hash", "item_id", "size", "shift"], "left_semi")
     needed = cut(slotted.select("text_hash").distinct())
-    source = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_hash"), "text").join(_narrow(needed), "text_hash")
+    source = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("text_hash"), "text").join(narrow(needed), "text_hash")
     tokens = source.groupBy("text_hash").agg(F.first("text").alias("text")).select("text_hash", template(F.col("text"), values=True).alias("tokens"))
     compared = slotted.join(tokens, "text_hash").withColumn("own", F.expr("slice(tokens, place + 1, size)"))
-    compared = compared.select("text_hash", "item_id", "size", (F.col("place") - F.col("at")).alias("shift"), F.explode(F.arrays_zip(F.col("values").alias("a"), F.col("own").alias("b"))).alias("s"))
-    compared = compared.where("s.a RLIKE '^[#@%]'").groupBy("text_hash", "item_id", "size", "shift", "s.a").agg((F.min("s.b") == F.max("s.b")).alias("one"))
+    compared = compared.select("text_hash", "item_id", "size", "shift", F.explode(F.arrays_zip(F.col("values").alias("a"), F.col("own").alias("b"))).alias("s"))
+    compared = compared.where("s.a > 0").groupBy("text_hash", "item_id", "size", "shift", "s.a").agg((F.min("s.b") == F.max("s.b")).alias("one"))
     slots = compared.groupBy("text_hash", "item_id", "size", "shift").agg(F.count("*").alias("slots"), F.avg(F.col("one").cast("double")).alias("consistent"))
 
     judged = passages.join(slots, ["text_hash", "item_id", "size", "shift"], "left")
@@ -127,11 +135,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontamination_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The same with doc_id in place of text_hash: a row for each contaminated document and item."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(contaminated(docs, benchmark), "text_hash").drop("text_hash")
+    """The same with doc_id in place of text_hash, and items, how many the class has: a row for each contaminated document
+    and class of items."""
+    sizes = template_classes(benchmark).groupBy(F.col("class_item").alias("item_id")).agg(F.count("*").alias("items"))
+    found = contaminated(docs, benchmark).join(sizes, "item_id")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(found, "text_hash").select("doc_id", *[c for c in found.columns if c != "text_hash"])
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no passage of the benchmark; null texts stay."""
-    hashes = cut(contaminated(docs, benchmark).select(F.col("text_hash").alias("__text_hash")).distinct())
-    return docs.join(_narrow(hashes), F.xxhash64("text") == F.col("__text_hash"), "left_anti")
+    name = free_name(docs, "__text_hash")
+    hashes = cut(contaminated(docs, benchmark).select(F.col("text_hash").alias(name)).distinct())
+    return docs.join(narrow(hashes), F.xxhash64("text") == F.col(name), "left_anti")

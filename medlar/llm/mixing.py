@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlar.llm.shared import WORD, cut
+from medlar.llm.shared import WORD, as_records, cut
 
 WEIGHTS = (5, 2, 1)
 #: Times a source's size that its target, and a document's size that its taken words, may reach.
@@ -24,6 +24,8 @@ SHARDS = 8
 SEED = 9
 #: Rows of a source that are put in order together.
 ROWS = 512
+#: Buckets of a source whose words are summed up together.
+RUN = 1_024
 #: Sources up to this number are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -79,46 +81,53 @@ def quotas(sources: DataFrame, shards: int = SHARDS, block: int = BLOCK, weights
     return known.drop("sources").join(seats, "place")
 
 
-def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``docs``, which needs doc_id, text and source, with a struct column ``mix`` more: size (words of the text),
+def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, name: str = "mix") -> DataFrame:
+    """``docs``, which needs doc_id, text and source, with a struct column ``name`` more: size (words of the text),
     source_size, target, taken (words that the mix takes, repeats counted), copies (whole repeats, the last one if it
     begins in the mix) and shard (where the first taken word goes; null if none is taken).
 
-    Words are runs of other characters than ASCII white space; null and empty texts have none. A null source is a source
-    of its own and the last in order. An empty table gives an empty result; a table without words takes none. Reruns
-    agree: rows of equal id and text are alike, and rows that are equal in everything may stand for each other. A column
-    of ``docs`` that is called ``mix`` is replaced.
+    Words are runs of other characters than ASCII white space; null and empty texts have none, and count as beginning
+    where their bucket of the order does. A null source is a source of its own and the last in order. An empty table gives
+    an empty result; a table without words takes none. Reruns agree: rows of equal id and text are alike, rows that are
+    equal in everything may stand for each other, and many of them stand at as many places of the order. A column of
+    ``docs`` that is called ``name`` is replaced: ``free_name`` gives one that it doesn't have.
     """
-    key = order_key(F.col("doc_id"), F.col("text"), seed)
-    front = F.conv(F.substring("__mix_key", 1, 8), 16, 10).cast("long")
-    sized = cut(docs.select("source", word_count(F.col("text")).alias("__mix_size"), key.alias("__mix_key")).select("source", "__mix_size", front.alias("__mix_front")))
-    plan = cut(quotas(sized.groupBy("source").agg(F.sum("__mix_size").alias("size"), F.count("*").alias("rows")), shards, block, weights, most))
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
+    key = order_key(F.col("row.doc_id"), F.col("row.text"), seed)
+    key = F.when(F.col("salt") == "", key).otherwise(F.md5(F.concat_ws(":", key, "salt")))
+    rows = as_records(docs.select([F.col(f"`{c}`") for c in columns]))
+    rows = rows.select("row", F.col("row.source").alias("source"), word_count(F.col("row.text")).alias("size"), key.alias("key"))
+    rows = rows.withColumn("front", F.conv(F.substring("key", 1, 8), 16, 10).cast("long"))
+    sized = cut(rows.select("source", "size", "front"))
+    plan = cut(quotas(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), shards, block, weights, most))
     few = plan.count() <= BROADCAST_ROWS
     words = F.least(F.element_at("seats", -1) * block, F.col("size") * most)
     passes = F.when(F.col("size") > 0, F.expr("words div size")).otherwise(0)
     plan = plan.withColumn("words", words).withColumn("passes", passes)
-    plan = plan.select(
-        F.col("source").alias("__mix_source"), F.struct("place", "size", "rows", "target", "seats", "passes", (F.col("words") - F.col("passes") * F.col("size")).alias("extra")).alias("__mix_plan")
-    )
+    plan = plan.select(F.col("source").alias("of"), F.struct("place", "size", "rows", "target", "seats", "passes", (F.col("words") - F.col("passes") * F.col("size")).alias("extra")).alias("plan"))
     plan = F.broadcast(plan) if few else plan
 
     def placed(df: DataFrame) -> DataFrame:
-        buckets = F.ceil(F.col("__mix_plan.rows") / ROWS).cast("long")
-        return df.join(plan, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_place", F.col("__mix_plan.place")).withColumn("__mix_bucket", F.shiftright(F.col("__mix_front") * buckets, 32))
-
-    sums = placed(sized).groupBy("__mix_place", "__mix_bucket").agg(F.sum("__mix_size").alias("__mix_words"))
-    ahead = F.coalesce(F.sum("__mix_words").over(Window.partitionBy("__mix_place").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("__mix_place", "__mix_bucket", ahead.alias("__mix_ahead"))
-    rows = docs.drop("mix").withColumn("__mix_size", word_count(F.col("text"))).withColumn("__mix_key", key).withColumn("__mix_front", front)
-    rows = placed(rows).join(sums, ["__mix_place", "__mix_bucket"])
-    inside = Window.partitionBy("__mix_place", "__mix_bucket").orderBy("__mix_key", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__mix_start", F.col("__mix_ahead") + F.coalesce(F.sum("__mix_size").over(inside), F.lit(0)))
-    start, size, extra = F.col("__mix_start"), F.col("__mix_size"), F.col("__mix_plan.extra")
-    taken = F.col("__mix_plan.passes") * size + F.greatest(F.lit(0), F.least(size, extra - start))
-    copies = F.col("__mix_plan.passes") + F.when(start < extra, 1).otherwise(0)
-    shard = F.when(taken > 0, F.size(F.filter("__mix_plan.seats", lambda x: x <= F.floor(start / block))))
-    done = F.struct(size.alias("size"), F.col("__mix_plan.size").alias("source_size"), F.col("__mix_plan.target").alias("target"), taken.cast("long").alias("taken"), copies.cast("long").alias("copies"), shard.alias("shard"))
-    return rows.withColumn("mix", done).select(*[c for c in docs.columns if c.lower() != "mix"], "mix")
+        buckets = F.ceil(F.col("plan.rows") / ROWS).cast("long")
+        return df.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("place", F.col("plan.place")).withColumn("bucket", F.shiftright(F.col("front") * buckets, 32))
+
+    # words before a bucket: before its run of buckets, and in the run
+    sums = placed(sized).groupBy("place", "bucket").agg(F.sum("size").alias("words")).withColumn("run", F.expr(f"bucket div {RUN}"))
+    so_far = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy("place", "run").agg(F.sum("words").alias("words")).select("place", "run", so_far("words", "place", "run").alias("before"))
+    sums = sums.withColumn("inside", so_far("words", "place", "run", "bucket")).join(runs, ["place", "run"])
+    sums = sums.select("place", "bucket", (F.col("before") + F.col("inside")).alias("ahead"))
+
+    rows = placed(rows).join(sums, ["place", "bucket"])
+    inside = Window.partitionBy("place", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    full = rows.where("size > 0").withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = full.unionByName(rows.where("size = 0").withColumn("start", F.col("ahead")))
+    start, size, extra = F.col("start"), F.col("size"), F.col("plan.extra")
+    taken = F.col("plan.passes") * size + F.greatest(F.lit(0), F.least(size, extra - start))
+    copies = F.col("plan.passes") + F.when(start < extra, 1).otherwise(0)
+    shard = F.when(taken > 0, F.size(F.filter("plan.seats", lambda x: x <= F.floor(start / block))))
+    done = F.struct(size.alias("size"), F.col("plan.size").alias("source_size"), F.col("plan.target").alias("target"), taken.cast("long").alias("taken"), copies.cast("long").alias("copies"), shard.alias("shard"))
+    return rows.select("row", done.alias("done")).select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("done").alias(name))
 
 
 ORACLE = f"""

@@ -10,7 +10,9 @@ the connected components of links and exact copies.
 
 Work is bounded everywhere: copies collapse before anything else, buckets with the same members are looked at once, and
 a bucket above BLOCK members is dealt into blocks that are compared within themselves and with the bucket's hubs; what
-is still apart after that is compared with every block. A task returns a spanning forest of its links, never all pairs.
+is still apart after that is compared with every block. Where that is many, the bucket is first split by rare shingles:
+two similar texts share one among the rarest of each, so no link of the threshold is lost, and texts that only have common
+passages in common don't meet. A task returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlar.llm.shared import cut, free_name, hashed_words, mix64
+from medlar.llm.shared import cut, free_name, hashed_words, mix64, narrow
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -32,8 +34,9 @@ ROWS = 4
 #: Most members of a block, and hubs that each block of a larger bucket is compared with.
 BLOCK = 256
 HUBS = 8
-#: Ids up to this number are broadcast, 16 bytes each; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Texts with more copies than this, and than a share of all rows, get their class by broadcast: so many at most.
+COPIES = 256
+MOST_COPIED = 500_000
 #: Links from which both sides of a graph's joins are dealt anew, so that adaptive execution can split a hub's.
 MANY_LINKS = 2_000_000
 
@@ -129,7 +132,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.where(counts > 0, BANDS, 0)
             offsets = np.concatenate([[0], np.cumsum(has)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[counts > 0].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(whole[0]), pa.array(whole[1]), bands], ["id", "node", "check", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(whole[0]), pa.array(whole[1]), bands], ["id", "node", "check", "bands"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +146,16 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(own), pa.array(packed, pa.binary()).filter(own)], ["node", "shingles"])
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a member: bucket, node, size, shingle."""
+    for batch in batches:
+        packed = batch.column("shingles")
+        size = np.array([len(x) // 8 for x in packed.to_pylist()])
+        each = np.concatenate([np.frombuffer(x, np.int64) for x in packed.to_pylist()] or [np.zeros(0, np.int64)])
+        columns = [pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("bucket", "node")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(size, size)), pa.array(each)], ["bucket", "node", "size", "shingle"])
+
+
 class _Group:
     """Members of one block with their shingles as small integers."""
 
@@ -252,15 +265,35 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(_few(small.union(low.select("u", F.col("m").alias("v"))).distinct(), n))
 
 
+def _ident(docs: DataFrame) -> Column:
+    """The id, whole numbers as long."""
+    return F.col("doc_id").cast("long") if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "void") else F.col("doc_id")
+
+
 def _with_shingles(members: DataFrame, docs: DataFrame, spots: DataFrame) -> DataFrame:
     """Members with their shingles; ``spots`` says which document has a node's text."""
-    spots = cut(spots.join(members.select("node").distinct(), "node", "left_semi"))
-    if spots.count() <= BROADCAST_ROWS:
-        spots = F.broadcast(spots)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(spots, "id").select("node", "text")
+    spots = narrow(cut(spots.join(members.select("node").distinct(), "node", "left_semi")))
+    texts = docs.select(_ident(docs).alias("id"), "text").join(spots, "id").select("node", "text")
     return members.join(texts.mapInArrow(_shingles, "node long, shingles binary"), "node")
 
 
+def _by_rare_shingles(apart: DataFrame, docs: DataFrame, spots: DataFrame, threshold: float) -> DataFrame:
+    """The members (bucket, n, node, label, main, k) of large buckets, dealt anew to smaller ones: a member goes where each of
+    its rarest shingles is, as many as two similar texts can't all differ in. Rarity is by the bucket's members."""
+    each = _with_shingles(apart.select("bucket", "node"), docs, spots).select("bucket", "node", "shingles")
+    each = each.mapInArrow(_each_shingle, "bucket long, node long, size long, shingle long")
+    times = each.groupBy("bucket", "shingle").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("bucket", "node").orderBy("times", "shingle"))
+    first = each.join(times, ["bucket", "shingle"]).withColumn("place", place)
+    first = first.where((F.col("place") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1) & (F.col("times") > 1))
+    dealt = cut(first.select("bucket", "node", F.xxhash64("bucket", "shingle").alias("part")).join(apart.select("bucket", "node", "label", "main"), ["bucket", "node"]))
+    lone = F.sum(F.when(F.col("label") != F.col("main"), 1).otherwise(0))
+    mark = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"), lone.alias("k"), *mark, F.min("label").alias("low"), F.max("label").alias("high"))
+    parts = parts.where("low <> high AND k > 0").groupBy("n", "k", "x", "y").agg(F.min("part").alias("part"))
+    return dealt.join(parts.select("part", "n", "k"), "part").select(F.col("part").alias("bucket"), "n", "node", "label", "main", "k")
+
+
 def _links(members: DataFrame, threshold: float, labelled: bool) -> DataFrame:
     keys = ["bucket", "block", "part"]
     dealt = members.select(*keys, "node", "lone", "label", "shingles").repartition(*keys).sortWithinPartitions(*keys)
@@ -268,15 +301,18 @@ def _links(members: DataFrame, threshold: float, labelled: bool) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id) for each row of ``docs``, which needs doc_id (integer) and text; class_id is the least id.
+    """(doc_id, class_id) for each row of ``docs``, which needs doc_id (whole numbers come back as long) and text; class_id is
+    the least id.
 
     Words are separated by ASCII white space and compared without regard to ASCII case. Texts of the same words are
     copies; a text without words is a copy of the others without. A null text has its own id as its class. Rows with
     a null id keep it and join the class of their text, if that has another row with an id, else their class is null.
     An empty table gives an empty result. Nodes of the graph are 64-bit hashes of whole texts.
     """
-    marked = cut(docs.select("doc_id", "text").mapInArrow(_signatures, "id long, node long, check long, bands array<long>"))
-    texts = marked.groupBy("node", "check").agg(F.min("id").alias("least"))
+    ident = _ident(docs)
+    kind = docs.select(ident.alias("id")).schema["id"].dataType.simpleString()
+    marked = cut(docs.select(ident.alias("id"), "text").mapInArrow(_signatures, f"id {kind}, node long, check long, bands array<long>"))
+    texts = marked.groupBy("node", "check").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
 
     rows = cut(marked.select(F.explode("bands").alias("bucket"), "node").distinct())
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
@@ -305,6 +341,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         sizes = at.groupBy("bucket", "label").agg(F.count("*").alias("of"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("of", "label")).alias("main"), F.sum("of").alias("all")).where("main.of < all")
         apart = at.join(main.select("bucket", F.col("main.label").alias("main"), (F.col("all") - F.col("main.of")).alias("k")), "bucket")
+        wide = apart.where(F.col("k") > BLOCK)
+        if not wide.isEmpty():
+            apart = apart.where(F.col("k") <= BLOCK).unionByName(_by_rare_shingles(wide, docs, spots, threshold))
+        apart = cut(apart)
         parts = F.ceil(F.col("k") / BLOCK).cast("int")
         lone = apart.where("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("bucket", "node"), parts).cast("int").alias("part"), "node", F.lit(True).alias("lone"), "label")
         rest = apart.select("bucket", spread.alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", F.lit(False).alias("lone"), "label")
@@ -315,17 +355,20 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     linked = found.union(found.select(F.col("root").alias("node"), "root").distinct()).join(texts, "node")
     least = linked.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = linked.join(least, "root").select("node", "check", "class_id")
-    classes = texts.join(classes, ["node", "check"], "left").select("node", "check", F.coalesce("class_id", "least").alias("class_id"))
-    classes = cut(classes)  # dealt anew with the rows, so that adaptive execution can split a large group of copies
-    known = marked.select("id", "node", "check").join(classes, ["node", "check"]).select(F.col("id").alias("doc_id"), "class_id")
-    unread = docs.where("text IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"))
-    return known.union(unread)
+    classes = cut(texts.join(classes, ["node", "check"], "left").select("node", "check", "copies", F.coalesce("class_id", "least").alias("class_id")))
+    # a text with many copies is a hot key: there are few such texts, by their number of copies, so their classes are broadcast
+    many = F.col("copies") > max(COPIES, marked.count() // MOST_COPIED)
+    copied, others = F.broadcast(classes.where(many).drop("copies")), classes.where(~many).drop("copies")
+    known = marked.select(F.col("id").alias("doc_id"), "node", "check")
+    single = known.join(copied.select("node", "check"), ["node", "check"], "left_anti").join(others, ["node", "check"])
+    known = known.join(copied, ["node", "check"]).unionByName(single).select("doc_id", "class_id")
+    return known.union(docs.where("text IS NULL").select(ident.alias("doc_id"), ident.alias("class_id")))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one with the least id stays, and every row with a
     null text. Where ids are null or repeat, a hash of id and text stands for the id, and of equal rows one stays."""
-    ident = F.col("doc_id").cast("long")
+    ident = _ident(docs)
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
         return _without(docs, ident, near_duplicate_classes(docs, threshold))
     ident = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))
@@ -336,10 +379,9 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _without(docs: DataFrame, ident: Column, classes: DataFrame) -> DataFrame:
-    more = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__more")).distinct())
-    if more.count() <= BROADCAST_ROWS:
-        more = F.broadcast(more)
-    return docs.join(more, ident == F.col("__more"), "left_anti")
+    name = free_name(docs, "__more")
+    more = cut(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(narrow(more), ident == F.col(name), "left_anti")
 
 
 #: All pairs of documents with a shingle in common, and the closure of links: for small tables only.

@@ -2,7 +2,7 @@
 
 The first pass scatters records uniformly into buckets that fit in memory, by a seeded hash. The second reads each bucket
 as one partition, puts it in the order of the hash, so that a task which runs again sees the same, and shuffles it with
-Fisher-Yates (Spark's ``shuffle``, seeded by the bucket). The buckets behind one another are the shuffled data, and
+Fisher-Yates (Spark's ``shuffle``; Spark adds the partition's number, which is the bucket's, to the seed). The buckets behind one another are the shuffled data, and
 shards are cut from it so that their counts are at most one apart. DataFrame operations only.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from medlar.llm.shared import cut
+from medlar.llm.shared import as_records, cut, free_name
 
 SHARDS = 8
 SEED = 7
@@ -34,38 +34,43 @@ def bucket_count(total: int, shards: int, bucket_bytes: int | None = None) -> in
     return max(shards, -(-total // size))
 
 
-def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int | None = None) -> DataFrame:
-    """``docs``, which needs doc_id and text, with a struct column ``place`` more: bucket, shard and slot.
+def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int | None = None, name: str = "place") -> DataFrame:
+    """``docs``, which needs doc_id and text, with a struct column ``name`` more: bucket, shard and slot.
 
     Slots of a shard are gapless from 0, and shards' counts are at most one apart (with fewer rows than shards the rest
     stay empty). Reruns on equal rows agree. Null ids and texts count as empty; rows that are equal in everything may
-    stand for each other; an empty table gives an empty result. A column of ``docs`` called ``place`` is replaced.
+    stand for each other, and many of them are spread over buckets as others are; an empty table gives an empty result. A
+    column of ``docs`` called ``name`` is replaced: ``free_name`` gives one that it doesn't have.
     """
-    columns = [c for c in docs.columns if c.lower() != "place"]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     total = docs.agg(F.sum(text_size(F.col("text")))).first()[0] or 0
     buckets = bucket_count(total, shards, bucket_bytes)
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    rows = as_records(docs.select([F.col(f"`{c}`") for c in columns]))
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.coalesce("row.text", F.lit("")))
+    key = F.when(F.col("salt") == "", key).otherwise(F.xxhash64(key, F.col("salt")))
     bucket = F.pmod(key, F.lit(buckets)).cast("int")
-    counts = cut(docs.select(bucket.alias("b")).groupBy("b").agg(F.count("*").alias("n")))
-    rows = counts.agg(F.sum("n")).first()[0] or 0
+    counts = cut(rows.select(bucket.alias("b")).groupBy("b").agg(F.count("*").alias("n")))
+    n = counts.agg(F.sum("n")).first()[0] or 0
     before = F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("b", before.alias("before"))
     if buckets <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
 
-    record = F.struct(key.alias("key"), F.struct(*columns).alias("row"))
-    scattered = docs.select(bucket.alias("b"), record.alias("record")).repartitionById(buckets, F.col("b"))
+    scattered = rows.select(bucket.alias("b"), F.struct(key.alias("key"), "row").alias("record")).repartitionById(buckets, F.col("b"))
     whole = scattered.groupBy("b").agg(F.array_sort(F.collect_list("record")).alias("records"))
     mixed = whole.withColumn("records", F.expr(f"shuffle(records, {seed}L)"))
     spread = mixed.select("b", F.posexplode("records").alias("at", "record")).join(offsets, "b")
     spread = spread.withColumn("g", F.col("before") + F.col("at"))
-    shard = F.expr(f"cast(g * {shards} div {max(rows, 1)} as int)")
+    shard = F.expr(f"cast(g * {shards} div {max(n, 1)} as int)")
     spread = spread.withColumn("shard", shard)
-    slot = F.col("g") - F.expr(f"(cast(shard as bigint) * {rows} + {shards - 1}) div {shards}")
-    return spread.withColumn("slot", slot).select(*[F.col(f"record.row.`{c}`").alias(c) for c in columns], F.struct(F.col("b").alias("bucket"), "shard", "slot").alias("place"))
+    slot = F.col("g") - F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
+    spread = spread.withColumn("slot", slot).select(F.col("record.row").alias("row"), F.struct(F.col("b").alias("bucket"), "shard", "slot").alias("place"))
+    return spread.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("place").alias(name))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write the shuffled rows below ``path``, a folder for each shard, rows by slot."""
-    placed = shuffled_shards(docs, shards, seed).select("*", F.col("place.shard").alias("shard"), F.col("place.slot").alias("slot")).drop("place")
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the shuffled rows below ``path``, a folder for each shard, rows by slot. If ``docs`` has columns shard or slot,
+    the new ones get underscores at their end."""
+    name, shard, slot = (free_name(docs, c) for c in ("place", "shard", "slot"))
+    placed = shuffled_shards(docs, shards, seed, name=name).withColumn(shard, F.col(f"{name}.shard")).withColumn(slot, F.col(f"{name}.slot")).drop(name)
+    placed.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

@@ -49,6 +49,42 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+#: Bytes of strings that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
+#: Rows of equal id and text from which on they are spread by the rest of the row and by number.
+EQUAL_ROWS = 1_000
+_COPIES = 4_096
+
+
+def narrow(df: DataFrame, rows: int = 1_000_000, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and ``most_bytes`` in its strings; else as it is."""
+    wide = [c for c, t in df.dtypes if t in ("string", "binary")]
+    size = F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in wide), F.lit(0)))
+    n, held = df.agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= most_bytes else df
+
+
+def as_records(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """(row, salt): the rows of ``docs``, which needs doc_id and text, as one struct each, so that no name clashes.
+
+    salt is empty but for rows of whose id and text there are more than ``most``: of these, equal rows are counted where
+    they are and come back with a number each, and salt has a hash of the whole row and that number. So a partitioning
+    by id, text and salt has no hot key, and reruns on equal rows give the same salts.
+    """
+    most = EQUAL_ROWS if most is None else most
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.xxhash64(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")), F.coalesce("row.text", F.lit("")))
+    hot = cut(rows.groupBy(same.alias("same")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("same"))
+    if hot.isEmpty():
+        return rows.select("row", F.lit("").alias("salt"))
+    keyed, hot = rows.withColumn("same", same), narrow(hot)
+    counted = keyed.join(hot, "same", "left_semi").groupBy("row").agg(F.count("*").alias("n"))
+    tens = counted.withColumn("ten", F.explode(F.expr(f"sequence(0L, (n - 1) div {_COPIES})")))
+    copies = tens.withColumn("copy", F.explode(F.expr(f"sequence(ten * {_COPIES}, least(n, (ten + 1) * {_COPIES}) - 1)")))
+    salt = F.concat_ws(":", F.xxhash64(F.to_json("row")).cast("string"), F.col("copy").cast("string"))
+    return keyed.join(hot, "same", "left_anti").select("row", F.lit("").alias("salt")).union(copies.select("row", salt.alias("salt")))
+
+
 # --- words of Arrow string columns, hashed without a Python object per word ---
 
 _rng = np.random.default_rng(0x5EED)
@@ -59,16 +95,10 @@ _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 19)
-        _powers[:] = [
-            np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64))]) for x in (_BASE, _INVERSE)
-        ]
-    return _powers[0], _powers[1]
+#: Bytes that are hashed at once.
+_PIECE = 1 << 19
+_power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(_PIECE, _BASE, np.uint64))])
+_inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(_PIECE, _INVERSE, np.uint64))])
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -111,15 +141,25 @@ def spans(buf: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nda
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span, from the difference of prefix hashes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(buf))
+    """A 64-bit hash of each span, from the difference of prefix hashes; spans follow one another."""
     values = _BYTE[_ASCII_LOWER] if lower else _BYTE
-    prefix = np.empty(len(buf) + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum(values[buf] * power[: len(buf)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        a = int(starts[first])
+        last = int(np.searchsorted(ends, a + _PIECE, "right"))
+        if last <= first:  # a span longer than a piece
+            total = 0
+            for at in range(a, int(ends[first]), _PIECE):
+                piece = values[buf[at : min(at + _PIECE, int(ends[first]))]]
+                total += int((piece * _power[: len(piece)]).sum()) * pow(_BASE, at - a, 2**64)
+            out[first], first = total % 2**64, first + 1
+            continue
+        piece = values[buf[a : int(ends[last - 1])]]
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece * _power[: len(piece)])])
+        begin, end = starts[first:last] - a, ends[first:last] - a
+        out[first:last] = (prefix[end] - prefix[begin]) * _inverse[begin]
+        first = last
+    return mix64(out + (ends - starts).astype(np.uint64))
 
 
 def chunks(off: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ ROWS = [
     (10, "naïve     日本語 😀 <|endoftext|> a\u0000b \U000e0fff x", "fr", "d"),
 ]
 #: Names that operators use for columns of their own.
-CLASHES = ("score", "predicted", "n_tokens", "language", "place", "shard", "slot", "mix", "size", "class_id", "node", "toxic_score", "text_hash", "bucket")
+CLASHES = ("score", "predicted", "n_tokens", "language", "place", "shard", "slot", "mix", "size", "class_id", "node", "toxic_score", "text_hash", "bucket", "__mix_size", "__mix_place", "__more", "__text_hash", "__again", "__ident", "row", "salt", "key", "_id", "_toxic", "plan", "start")
 
 
 @pytest.fixture(scope="session")

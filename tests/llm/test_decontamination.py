@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import defaultdict
 
@@ -65,6 +66,46 @@ def test_edges(spark, edge, none):
     assert kept.columns == edge.columns
 
 
+def test_items_of_one_template_are_one_class(spark):
+    form = "A farmer has {} sheep and buys {} more at the market in the town of {}, then sells {} of all these to the neighbours."
+    items = [(i, form.format(i + 3, 2 * i + 1, f"Place{chr(97 + i % 26)}", i + 5)) for i in range(1_000)] + [(5_000, form.format(7, 7, "Lund", 9))]
+    classes = D.template_classes(spark.createDataFrame(items, "item_id long, text string"))
+    sizes = {r["class_item"]: r["count"] for r in classes.groupBy("class_item").count().collect()}
+    assert sum(sizes.values()) == 1_001
+    assert len(sizes) < 10
+    docs = [(d, f"So {d}. " + form.format(d + 50, 900 + d, "Ystad", 4)) for d in range(20)]
+    got = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = D.decontamination_matches(got, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == set(range(20))
+    assert len(rows) <= 20 * len(sizes)
+    assert max(r["items"] for r in rows) == max(sizes.values())
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Questions with other numbers and names, planted in other text; half have a name at a sentence's start."""
+    rng = random.Random(5)
+    words = [a + b for a in ("ban", "cor", "del", "fin", "gar", "hol", "jun", "kel", "lom", "mar") for b in ("ta", "ric", "do", "sel", "um", "ig", "en", "va", "os", "ly")]
+    names = [w.capitalize() for w in ("anna", "bob", "carl", "dora", "emil", "frida", "georg", "hanna")]
+
+    def question(form, numbers, own):
+        return " ".join(str(numbers[w]) if isinstance(w, int) else own[w[1]] if isinstance(w, tuple) else w for w in form) + "."
+
+    items, docs = [], []
+    for i in range(200):
+        form = [rng.choice(words) for _ in range(rng.randrange(14, 40))]
+        for k in range(3):
+            form[rng.randrange(2, len(form))] = k
+        form[rng.randrange(4, len(form))] = ("name", 0)
+        form[0] = ("name", 0) if i % 2 else form[0].capitalize() if isinstance(form[0], str) else "The"
+        items.append((i, question(form, [rng.randrange(10, 99) for _ in range(3)], [rng.choice(names)])))
+        docs.append((i, " ".join(rng.choices(words, k=50)) + ". " + question(form, [rng.randrange(100, 999) for _ in range(3)], [rng.choice(names)]) + " " + " ".join(rng.choices(words, k=50))))
+        docs.append((1_000 + i, " ".join(rng.choices(words, k=150))))
+    rows = D.decontamination_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    caught = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert all(d == i for d, i in caught)
+    assert len(caught) >= 0.9 * 200
+
+
 def test_against_brute_force(spark, documents):
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
 

@@ -65,6 +65,38 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_large_buckets_that_stay_apart_lose_no_link(spark, monkeypatch):
+    """Texts that share a long notice, alike in many bands but not similar; some have a near copy among them."""
+    monkeypatch.setattr(ND, "BLOCK", 12)
+    dealt = []
+    by_rare = ND._by_rare_shingles
+    monkeypatch.setattr(ND, "_by_rare_shingles", lambda *a: dealt.append(by_rare(*a)) or dealt[-1])
+    rng = random.Random(8)
+    notice = " ".join(f"n{k}" for k in range(100))
+    rows = []
+    for i in range(160):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(50)]
+        rows.append((10 * i, f"{notice} {' '.join(own)}"))
+        if i % 4 == 0:
+            own[rng.randrange(50)] = "changed"
+            rows.append((10 * i + 1, f"{notice} {' '.join(own)}"))
+        if i % 8 == 0:
+            rows.append((10 * i + 2, f"{notice} {' '.join([*own, 'and', 'more'])}"))
+    expected = brute(rows)
+    assert len(set(expected.values())) == 160
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == expected
+    assert dealt
+
+
+def test_ids_of_any_kind_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(ND, "COPIES", 3)
+    rows = [(f"id{i:03}", "one two three four five six" if i % 2 else f"{i} b c d e f g") for i in range(40)]
+    got = classes(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert got == {i: "id001" if int(i[2:]) % 2 else i for i, _ in rows}
+    kept = ND.one_of_each(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == ["id000", "id001", *(f"id{i:03}" for i in range(2, 40, 2))]
+
+
 def test_registers_agree_as_often_as_texts_are_similar():
     rng = np.random.default_rng(1)
     element = rng.integers(1, 2**63, 300, dtype=np.uint64)

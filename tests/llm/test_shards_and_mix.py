@@ -48,6 +48,35 @@ def test_shard_edges(edge, none):
     assert [r["slot"] for r in few] == [0, 0, 0]
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """Rows without id and text, equal or told apart by other columns only, are no hot bucket of either operator."""
+    monkeypatch.setattr(mixing, "ROWS", 64)
+    equal = spark.range(50_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "'a' AS source", "map('k', 1) AS tags")
+    unlike = spark.range(5_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'' AS text", "'b' AS source", "map('k', int(id)) AS tags")
+    words = spark.range(5_000).selectExpr("7 AS doc_id", "'one two three' AS text", "'c' AS source", "map('k', 1) AS tags")
+    docs = equal.union(unlike).union(words)
+    mixed = mixing.mix(docs)
+    assert mixed.count() == 60_000
+    got = {r["source"]: r for r in mixed.groupBy("source").agg(F.sum("mix.taken").alias("taken"), F.max("mix.target").alias("target"), F.countDistinct("tags").alias("tags")).collect()}
+    assert abs(got["c"]["taken"] - got["c"]["target"]) <= 16
+    assert got["b"]["tags"] == 5_000
+    placed = sharding.shuffled_shards(docs.drop("tags"), bucket_bytes=4_000)
+    sizes = placed.groupBy("place.bucket").count().agg(F.count("*").alias("n"), F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    assert sizes["all"] == 60_000
+    assert sizes["most"] < 3 * 60_000 / sizes["n"]
+    again = sharding.shuffled_shards(docs.drop("tags").repartition(3), bucket_bytes=4_000)
+    assert placed.exceptAll(again).isEmpty()
+
+
+def test_no_column_is_lost_or_changed(edge):
+    mixed = mixing.mix(edge, name="other")
+    assert mixed.drop("other").exceptAll(edge).isEmpty()
+    assert mixed.columns == [*edge.columns, "other"]
+    placed = sharding.shuffled_shards(edge, name="other")
+    assert placed.columns == [*edge.columns, "other"]
+    assert placed.drop("other").exceptAll(edge).isEmpty()
+
+
 def seats_by_hand(targets, house):
     won = [0] * len(targets)
     for _ in range(house):
@@ -119,6 +148,16 @@ def test_pipeline_stages(spark, tmp_path):
         docs = out
 
 
+def test_pipeline_stages_keep_clashing_names(spark, edge):
+    import corpus_pipeline
+
+    docs = edge.where("doc_id <= 10").withColumn("mix", F.lit("m")).withColumn("place", F.lit("p"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert [c for c in out.columns if c not in ("shard_", "slot_")] == docs.columns, name
+        assert {tuple(r) for r in out.select(docs.columns).collect()} <= {tuple(r) for r in docs.collect()}, name
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
