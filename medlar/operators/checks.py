@@ -27,11 +27,16 @@ def accepted_values(column: str, values: Sequence) -> Check:
 
 
 def in_range(column: str, low: float | None = None, high: float | None = None) -> Check:
+    return outside(column, F.col(column), low, high)
+
+
+def outside(column: str, number: Column, low: float | None = None, high: float | None = None) -> Check:
+    """The same for a number that is read from a column."""
     broken = F.lit(False)
     if low is not None:
-        broken |= F.col(column) < low
+        broken |= number < low
     if high is not None:
-        broken |= F.col(column) > high
+        broken |= number > high
     return Check(f"in_range:{column}", F.coalesce(broken, F.lit(False)))
 
 
@@ -68,5 +73,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.select(own.alias("h")).agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor("h").alias("mix"))
 
 
+def portable_fingerprint(df: DataFrame) -> DataFrame:
+    """(rows, sum): a fingerprint that other engines can compute too: the sum, over rows, of the first eight hexadecimal
+    digits of the MD5 of all columns, by name, as text with a stroke between them and nothing for null."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)])
+    return df.select(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long").alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).alias("sum"))
+
+
 def content_digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medlar.functions import periods as P
+from medlar.sources import files
 
 
 def academic_periods(spark: SparkSession, calendar: P.Calendar) -> DataFrame:
@@ -40,10 +41,24 @@ def vocabulary(spark: SparkSession, key: str, label: str, values: Sequence[str])
 
 
 def with_surrogate_key(df: DataFrame, key: str, natural: Sequence[str]) -> DataFrame:
-    """Numbers from 1 in order of the natural key. One task numbers a dimension's rows; not for facts."""
+    """Numbers from 1 in order of the natural key. One task numbers all rows: for small dimensions."""
     return df.withColumn(key, F.row_number().over(Window.orderBy(*natural)))
 
 
+def with_large_surrogate_key(df: DataFrame, key: str, natural: Sequence[str]) -> DataFrame:
+    """The same for tables that grow: rows are dealt by ranges of the natural key and written once, each range is numbered
+    by itself and moved by the rows of the ranges before it."""
+    spark = df.sparkSession
+    folder = files.scratch(spark)
+    df.repartitionByRange(*natural).withColumn("__range", F.spark_partition_id()).write.parquet(folder)
+    dealt = spark.read.parquet(folder)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*natural))
+    numbered = dealt.withColumn("__place", place).join(F.broadcast(ranges), "__range")
+    return numbered.select(*df.columns, (F.col("__before") + F.col("__place")).cast("int").alias(key))
+
+
 def spells(entries: DataFrame, changes: DataFrame, entity: str, ordinal: str, value: str, new_value: str) -> DataFrame:
     """Type-2 history: (entity, value, valid_from, valid_to, is_current), in ordinals, valid_to null while open.
 

@@ -48,17 +48,33 @@ def deploy(series: DataFrame, registry: DataFrame, key: Sequence[str], ordinal:
     judged = fc.best_baseline(fc.evaluate(folds, key, ["candidate", *baselines]), baselines=baselines)
     decided = fc.promotion(judged.withColumnRenamed("candidate_mae", "mae").select(*key, "mae", "best_baseline_mae", "mae_diff"), fc.champions(known, key), key)
     now = F.current_timestamp()
-    fresh = decided.join(current, key).select(
+    models = fc.fit_models(due, key, ordinal, metric)
+    params = F.to_json(F.struct(F.lit("line").alias("kind"), F.col("last_ordinal").alias("to"), "model"))
+    fresh = decided.join(current, key).join(models, key).select(
         *key, model_version(F.concat_ws("-", *key), F.lit(metric), now).alias("model_version"), F.lit(metric).alias("metric"), now.alias("trained_at"), "mae", "best_baseline_mae",
-        F.col("promote").alias("is_champion"), F.when(F.col("promote"), now).alias("promoted_at"), F.col("current_max").alias("trained_to"), F.to_json(F.struct(F.lit("line").alias("kind"), F.col("current_max").alias("to"))).alias("params"),
+        F.col("promote").alias("is_champion"), F.when(F.col("promote"), now).alias("promoted_at"), F.col("current_max").alias("trained_to"), params.alias("params"),
     )
     others = registry.where(F.col("metric") != metric)
     after = others.unionByName(fc.record(known, fresh, key))
-    chosen = due.join(fresh.where("is_champion").select(*key, "model_version"), key)
-    forecasts = fc.forecast_next(chosen, key, ordinal, metric).join(fresh.select(*key, "model_version", "metric"), key)
+    forecasts = champion_forecasts(fresh, key)
     return Deployment(gated.join(decided, key, "left"), after, forecasts)
 
 
+def load(registry: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, model_version, metric, model, last_ordinal) of the champions, as they were stored."""
+    stored = F.from_json("params", f"struct<kind: string, to: int, model: {fc.MODEL}>")
+    champions = fc.champions(registry, [*key, "metric"]).withColumn("__stored", stored)
+    return champions.select(*key, "model_version", "metric", F.col("__stored.model").alias("model"), F.col("__stored.to").alias("last_ordinal"))
+
+
+def champion_forecasts(registry: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, target_ordinal, yhat, lower, upper, model_version, metric) of the champions, from their stored coefficients."""
+    key = list(key)
+    models = load(registry, key)
+    made = fc.forecast_from(models, [*key, "metric"])
+    return made.join(models.select(*key, "metric", "model_version"), [*key, "metric"]).select(*key, "target_ordinal", "yhat", "lower", "upper", "model_version", "metric")
+
+
 def report(decisions: DataFrame, key: Sequence[str]) -> DataFrame:
     """What a reader of an evaluation wants to see, series by series."""
     return decisions.select(*key, "gate", "mae", "best_baseline_mae", "mae_diff", "promote", "reason").orderBy(*key)

@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +23,18 @@ def fold_points(series: DataFrame, ordinal: str, folds: int = FOLDS) -> DataFram
     return last.select(F.explode(F.sequence((F.col("last") - (folds - 1)).cast("int"), F.col("last").cast("int"))).alias("test_ordinal"))
 
 
+def _at_points(series: DataFrame, ordinal: str, folds: int) -> DataFrame:
+    """Each row once for every test point that isn't before it, with column test_ordinal."""
+    last = series.agg(F.max(ordinal)).first()[0]
+    points = [] if last is None else range(int(last) - folds + 1, int(last) + 1)
+    points = F.array(*[F.lit(p) for p in points]).cast("array<int>")
+    return series.withColumn("test_ordinal", F.explode(points)).where(F.col(ordinal) <= F.col("test_ordinal"))
+
+
 def baselines(series: DataFrame, key: Sequence[str], ordinal: str, value: str, folds: int = FOLDS) -> DataFrame:
     """(key, test_ordinal, actual, naive, historical_avg, seasonal_naive) for folds that the series has a row of and rows
     before. The test points are a handful; each series row meets each of them once, inside one aggregation."""
-    points = F.broadcast(fold_points(series, ordinal, folds))
-    met = series.join(points, F.col(ordinal) <= F.col("test_ordinal"))
+    met = _at_points(series, ordinal, folds)
     earlier = F.col(ordinal) < F.col("test_ordinal")
     y = F.col(value).cast("double")
     return met.groupBy(*key, "test_ordinal").agg(
@@ -71,52 +76,70 @@ def long_enough(series: DataFrame, key: Sequence[str], ordinal: str, least: int
     return series.join(kept, list(key), "left_semi")
 
 
-def fit_line(ordinal: np.ndarray, value: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-    """(predictions at ``at``, standard error) of a least-squares line with a step between the two seasons; with under four
-    points the line alone, with one the value."""
-    def design(t: np.ndarray) -> np.ndarray:
-        columns = [np.ones(len(t))]
-        if len(ordinal) > 1:
-            columns.append(t.astype(float))
-        if len(ordinal) >= LEAST_PERIODS:
-            columns.append((t % SEASON).astype(float))
-        return np.stack(columns, 1)
+MODEL = "struct<n: long, slope: double, base_0: double, base_1: double, error: double>"
 
-    x = design(ordinal)
-    w, *_ = np.linalg.lstsq(x, value.astype(float), rcond=None)
-    free = max(len(value) - x.shape[1], 1)
-    return design(at) @ w, float(np.sqrt(((value - x @ w) ** 2).sum() / free))
 
+def fit(ordinal: Column, value: Column, use: Column | None = None) -> Column:
+    """An aggregate: the least-squares line of ``value`` over ``ordinal`` with a step between the two seasons, as a struct of
+    n, slope, the value at ordinal 0 by season, and standard error; null without points.
 
-def fitted_folds(series: DataFrame, key: Sequence[str], ordinal: str, value: str, last: int, folds: int = FOLDS) -> DataFrame:
-    """(key, test_ordinal, candidate): predictions of the fitted model, trained before each test point. One task per series."""
-    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in key)
+    With under LEAST_PERIODS points, or those of one season only, the line alone; with one ordinal, the mean. All of it
+    follows from sums, so a fit is one partial aggregation."""
+    use = F.lit(True) if use is None else use
+    t, y = ordinal.cast("double"), value.cast("double")
+    whole = {"n": F.count(F.when(use & y.isNotNull(), 1)).cast("double")}
+    of = [F.when(use & y.isNotNull() & (F.pmod(ordinal, F.lit(SEASON)) == s), 1) for s in range(SEASON)]
+    zero = F.lit(0.0)
+    total = lambda w, x: F.coalesce(F.sum(F.when(w == 1, x)), zero)
+    sums = [{"n": F.count(w).cast("double"), "t": total(w, t), "y": total(w, y), "tt": total(w, t * t), "ty": total(w, t * y), "yy": total(w, y * y)} for w in of]
+    both = {k: sums[0][k] + sums[1][k] for k in sums[0]}
+    split = (whole["n"] >= LEAST_PERIODS) & (sums[0]["n"] > 0) & (sums[1]["n"] > 0)
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ordinal)
-        t, y = rows[ordinal].to_numpy(), rows[value].to_numpy(dtype=float)
-        out = []
-        for point in range(last - folds + 1, last + 1):
-            train = t < point
-            if train.any() and (t == point).any():
-                out.append([*(rows[k].iloc[0] for k in key), point, float(fit_line(t[train], y[train], np.array([point]))[0][0])])
-        return pd.DataFrame(out, columns=[*key, "test_ordinal", "candidate"])
+    def inner(s: dict, a: str, b: str, ab: str) -> Column:
+        return s[ab] - F.try_divide(s[a] * s[b], s["n"])
 
-    return series.select(*key, ordinal, value).groupBy(*key).applyInPandas(walk, f"{kinds}, test_ordinal int, candidate double")
+    def within(a: str, b: str, ab: str) -> Column:
+        parts = [F.coalesce(inner(s, a, b, ab), zero) for s in sums]
+        return F.when(split, parts[0] + parts[1]).otherwise(inner(both, a, b, ab))
 
+    slope = F.coalesce(F.try_divide(within("t", "y", "ty"), F.when(within("t", "t", "tt") > 1e-9, within("t", "t", "tt"))), zero)
+    base = [F.when(split, F.try_divide(s["y"] - slope * s["t"], s["n"])).otherwise(F.try_divide(both["y"] - slope * both["t"], both["n"])) for s in sums]
+    rest = F.greatest(within("y", "y", "yy") - slope * within("t", "y", "ty"), zero)
+    free = F.greatest(whole["n"] - F.when(whole["n"] >= LEAST_PERIODS, 3).when(whole["n"] > 1, 2).otherwise(1), F.lit(1.0))
+    made = F.struct(whole["n"].cast("long").alias("n"), slope.alias("slope"), base[0].alias("base_0"), base[1].alias("base_1"), F.sqrt(rest / free).alias("error"))
+    return F.when(whole["n"] > 0, made).cast(MODEL)
 
-def forecast_next(series: DataFrame, key: Sequence[str], ordinal: str, value: str) -> DataFrame:
-    """(key, target_ordinal, yhat, lower, upper) for the period after each series' last, none below 0."""
-    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in key)
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ordinal)
-        target = int(rows[ordinal].max()) + 1
-        yhat, error = fit_line(rows[ordinal].to_numpy(), rows[value].to_numpy(dtype=float), np.array([target]))
-        values = [max(0.0, float(yhat[0]) + s * BAND * error) for s in (0, -1, 1)]
-        return pd.DataFrame([[*(rows[k].iloc[0] for k in key), target, *values]], columns=[*key, "target_ordinal", "yhat", "lower", "upper"])
+def predict(model: Column, ordinal: Column) -> Column:
+    """A fitted model's value at an ordinal."""
+    base = F.when(F.pmod(ordinal, F.lit(SEASON)) == 0, model["base_0"]).otherwise(model["base_1"])
+    return base + model["slope"] * ordinal
+
+
+def fitted_folds(series: DataFrame, key: Sequence[str], ordinal: str, value: str, last: int | None = None, folds: int = FOLDS) -> DataFrame:
+    """(key, test_ordinal, candidate): predictions of the fitted model, trained before each test point that the series has;
+    ``last`` is the table's last ordinal, as it is without it."""
+    earlier = F.col(ordinal) < F.col("test_ordinal")
+    known = series if last is None else series.where(F.col(ordinal) <= last)
+    fitted = _at_points(known, ordinal, folds).groupBy(*key, "test_ordinal").agg(fit(F.col(ordinal), F.col(value), earlier).alias("m"), F.max(~earlier).alias("has"))
+    return fitted.where("has AND m IS NOT NULL").select(*key, "test_ordinal", predict(F.col("m"), F.col("test_ordinal")).alias("candidate"))
+
+
+def fit_models(series: DataFrame, key: Sequence[str], ordinal: str, value: str) -> DataFrame:
+    """(key, model, last_ordinal): the fitted model of each series."""
+    return series.groupBy(*key).agg(fit(F.col(ordinal), F.col(value)).alias("model"), F.max(ordinal).cast("int").alias("last_ordinal"))
+
 
-    return series.select(*key, ordinal, value).groupBy(*key).applyInPandas(fit, f"{kinds}, target_ordinal int, yhat double, lower double, upper double")
+def forecast_from(models: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, target_ordinal, yhat, lower, upper) for the period after each model's last, none below 0; no refit."""
+    target = (F.col("last_ordinal") + 1).cast("int")
+    value = lambda s: F.greatest(F.lit(0.0), predict(F.col("model"), target) + s * BAND * F.col("model.error"))
+    return models.select(*key, target.alias("target_ordinal"), value(0).alias("yhat"), value(-1).alias("lower"), value(1).alias("upper"))
+
+
+def forecast_next(series: DataFrame, key: Sequence[str], ordinal: str, value: str) -> DataFrame:
+    """The same straight from the series."""
+    return forecast_from(fit_models(series, key, ordinal, value), key)
 
 
 def series_problems(series: DataFrame, key: Sequence[str], ordinal: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from medlar.functions import periods as P
 from medlar.operators import dims, facts, kpi
 
+# Labels of year levels and genders.
 LEVELS = ("Freshman", "Sophomore", "Junior", "Senior", "Fifth Year", "Sixth Year")
 GENDERS = ("Female", "Male")
 
@@ -31,7 +32,7 @@ def dimensions(spark: SparkSession, silver: dict[str, DataFrame], calendar: P.Ca
         "dim_gender": dims.vocabulary(spark, "gender_key", "gender_label", GENDERS),
         "dim_college": college,
         "dim_program": program,
-        "dim_student": dims.with_surrogate_key(named, "student_key", ["student_id", "valid_from"]),
+        "dim_student": dims.with_large_surrogate_key(named, "student_key", ["student_id", "valid_from"]),
     }
 
 

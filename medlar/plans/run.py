@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medlar.functions.normalize import STATUSES
 from medlar.functions.periods import Calendar
-from medlar.operators import rules
-from medlar.plans import deploy, gold, silver
+from medlar.operators import checks, rules
+from medlar.plans import deploy, gold, reports, silver
 from medlar.plans import features as feat
 from medlar.sources import bronze, files, synthetic
 
@@ -19,6 +20,7 @@ from medlar.sources import bronze, files, synthetic
 class Result:
     silver: dict[str, DataFrame]
     quarantine: DataFrame
+    rejected: dict[str, DataFrame]
     gold: dict[str, DataFrame]
     features: DataFrame
     deployment: deploy.Deployment
@@ -46,13 +48,44 @@ def source(spark: SparkSession, calendar: Calendar, per_year: int, colleges: int
     dropout = rows.where("status = 'DROPPED'").select("student_id", "academic_year", "semester_number", pid, "college_id", F.lit("unknown").alias("dropout_reason"), (F.col("period_ordinal") - F.col("__first")).alias("semesters_completed_before_dropout"))
     shifter = rows.withColumn("__before", F.expr("lag(program_id) OVER (PARTITION BY student_id ORDER BY period_ordinal)")).where("__before <> program_id")
     shifter = shifter.select("student_id", "academic_year", "semester_number", named(F.col("__before")).alias("from_program_id"), named(F.col("program_id")).alias("to_program_id"))
-    made = {"college": college, "program": program, "student": student, "enrollment": enrollment, "graduation": graduation, "dropout": dropout, "shifter": shifter}
+    fresh = entered.select(owner(F.col("entry_program_id")).alias("college_id"), named(F.col("entry_program_id")).alias("program_id"), F.col("cohort_year").alias("academic_year"))
+    admissions = synthetic.admissions(fresh, ("college_id", "program_id", "academic_year"), seed + 3).select(*silver.ENTITIES["admissions"])
+    made = {"college": college, "program": program, "student": student, "admissions": admissions, "enrollment": enrollment, "graduation": graduation, "dropout": dropout, "shifter": shifter}
     return {n: df.select([F.col(c).cast("string").alias(c) for c in df.columns]) for n, df in made.items()}
 
 
 def manifest(extracts: dict[str, DataFrame], seed: int) -> str:
-    """Seed and row counts of a generated source."""
-    return json.dumps({"seed": seed, "rows": {n: df.count() for n, df in sorted(extracts.items())}}, sort_keys=True)
+    """Seed, row counts and fingerprints of a generated source."""
+    prints = {n: checks.portable_fingerprint(df).first() for n, df in sorted(extracts.items())}
+    return json.dumps({"seed": seed, "rows": {n: p["rows"] for n, p in prints.items()}, "fingerprints": {n: str(p["sum"]) for n, p in prints.items()}}, sort_keys=True)
+
+
+def validate_source(extracts: dict[str, DataFrame], calendar: Calendar) -> list[str]:
+    """What keeps a generated source from being handed over: anything but the repeated rows and spellings that belong to its
+    noise, students who aren't in exactly one state at the end, and funnels that widen."""
+    report = {r["check"]: r["found"] for r in reports.pre_ingestion(extracts, calendar).collect()}
+    problems = [f"{check}: {found}" for check, found in report.items() if found and not check.endswith("_repeated_rows")]
+    gone = extracts["graduation"].select("student_id").union(extracts["dropout"].select("student_id"))
+    twice = checks.not_unique(gone, ["student_id"]).count()
+    if twice:
+        problems.append(f"students who left twice: {twice}")
+    funnel = extracts["admissions"].select(*[F.col(c).try_cast("int").alias(c) for c in ("applicants", "accepted", "enrolled_freshmen")])
+    wide = funnel.where(~rules.funnel("applicants", "accepted", "enrolled_freshmen")).count()
+    return problems + ([f"funnels that widen: {wide}"] if wide else [])
+
+
+def generate(spark: SparkSession, root: str, calendar: Calendar, per_year: int, seed: int = 42, **size: int) -> dict[str, DataFrame]:
+    """Write the synthetic source as CSV below ``root``, with its manifest, and read it back. A source that fails validation
+    raises and has no manifest."""
+    extracts = source(spark, calendar, per_year, seed=seed, **size)
+    for name, df in extracts.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{root}/{name}")
+    written = {n: files.read_csv(spark, f"{root}/{n}") for n in extracts}
+    problems = validate_source(written, calendar)
+    if problems:
+        raise bronze.PipelineError("; ".join(problems), "DATA_QUALITY_FAILURE")
+    spark.createDataFrame([(manifest(written, seed),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/manifest")
+    return written
 
 
 def land(spark: SparkSession, root: str, extracts: dict[str, DataFrame]) -> bronze.RunLog:
@@ -72,12 +105,21 @@ def land(spark: SparkSession, root: str, extracts: dict[str, DataFrame]) -> bron
 def build(spark: SparkSession, root: str, calendar: Calendar) -> Result:
     """Silver, gold, features and forecasts from what has landed; gates are held before anything is published."""
     clean = {n: silver.clean(files.read_all_partitions(spark, f"{root}/bronze/{n}"), n).rows for n in silver.ENTITIES}
+    landed = clean["enrollment"].count()
     tagged = silver.validate_enrollment(clean["enrollment"], clean["student"], clean["dropout"], calendar).persist()
+    kept = tagged.count()
+    if landed and 1 - kept / landed > rules.MOST_QUARANTINED:
+        raise bronze.PipelineError(f"{1 - kept / landed:.0%} of enrollment are repeats", "DUPLICATE_DATA")
     valid, quarantine = rules.split(tagged)
-    share = quarantine.count() / max(tagged.count(), 1)
+    share = quarantine.count() / max(kept, 1)
     if share > rules.MOST_QUARANTINED:
         raise rules.GateError(f"{share:.0%} of enrollment is quarantined")
     clean["enrollment"] = valid.drop("period_ordinal")
+    rejected = {}
+    for name in [n for n in silver.ENTITIES if n not in ("college", "student")]:
+        judged, chain = silver.business_rules(name, clean[name], clean["program"], clean["college"], calendar)
+        rules.enforce(judged, chain)
+        clean[name], rejected[name] = rules.split(judged)
     tables = gold.build(spark, clean, calendar)
     counts = feat.aligned_counts(
         tables["fact_enrollment"].withColumn("semester_number", calendar.semester_of(F.col("period_ordinal"))), tables["fact_graduation"].withColumn("semester_number", calendar.semester_of(F.col("period_ordinal"))),
@@ -85,10 +127,31 @@ def build(spark: SparkSession, root: str, calendar: Calendar) -> Result:
     )
     made = feat.features(counts, ["college_key", "program_key"], "period_ordinal", "semester_number", ["enrollment_count", "graduation_count"])
     series = made.select("program_key", "period_ordinal", "enrollment_count")
-    return Result(clean, quarantine, tables, made, deploy.deploy(series, deploy.empty_registry(series, ["program_key"]), ["program_key"], "period_ordinal", "enrollment_count"))
+    return Result(clean, quarantine, rejected, tables, made, deploy.deploy(series, deploy.empty_registry(series, ["program_key"]), ["program_key"], "period_ordinal", "enrollment_count"))
+
+
+def constraints() -> dict:
+    """Keys, references, vocabularies and ranges that gold tables keep, each as the rows that break it."""
+    unique = {
+        "dim_college": ["college_key"], "dim_program": ["program_key"], "dim_student": ["student_key"], "dim_academic_period": ["academic_period_key"],
+        "fact_enrollment": ["student_key", "academic_period_key"], "fact_retention": ["student_key", "academic_period_key"], "fact_institution_kpi": ["college_key", "period_ordinal"],
+    }
+    children = {"fact_enrollment": ("student", "college", "program", "academic_period"), "fact_graduation": ("student", "college", "program"), "fact_dropout": ("student", "college", "program"), "fact_shifter": ("student",)}
+    made = {f"unique:{t}": lambda x, t=t, k=k: checks.not_unique(x[t], k) for t, k in unique.items()}
+    for fact, parents in children.items():
+        for parent in parents:
+            key = f"{parent}_key"
+            made[f"references:{fact}.{key}"] = lambda x, f=fact, p=parent, k=key: checks.orphans(x[f].select(k), x[f"dim_{p}"], k, k)
+    made["one_current_spell"] = lambda x: checks.not_unique(x["dim_student"].where("is_current"), ["student_id"])
+    made["accepted_values:enrollment_status"] = lambda x: x["fact_enrollment"].where(checks.accepted_values("enrollment_status", STATUSES).broken)
+    made["in_range:success_rate"] = lambda x: x["fact_institution_kpi"].where(checks.in_range("success_rate", 0, 100).broken)
+    made["one_champion"] = lambda x: checks.not_unique(x["registry"].where("is_champion"), ["program_key", "metric"])
+    return made
 
 
 def publish(spark: SparkSession, root: str, result: Result, version: str) -> None:
-    """Gold tables, features, registry and forecasts as one version; rejected rows beside them."""
+    """Gold tables, features, registry and forecasts as one version that keeps its constraints; rejected rows beside them."""
     files.write_quarantine(result.quarantine, f"{root}/quarantine/enrollment")
-    files.publish(spark, f"{root}/gold", result.gold | {"features": result.features, "registry": result.deployment.registry, "forecasts": result.deployment.forecasts}, version)
+    for name, df in result.rejected.items():
+        files.write_quarantine(df, f"{root}/quarantine/business_rules/{name}")
+    files.publish(spark, f"{root}/gold", result.gold | {"features": result.features, "registry": result.deployment.registry, "forecasts": result.deployment.forecasts}, version, constraints())

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medlar.functions import normalize as N
 from medlar.functions import periods as P
-from medlar.operators import dedupe, facts, rules
+from medlar.operators import checks, dedupe, facts, rules
 from medlar.sources.bronze import AUDIT_COLUMNS
 
 # Columns of the entities with their types, and vocabularies of columns.
@@ -30,12 +31,21 @@ ENTITIES = {
         "semesters_completed_before_dropout": "int",
     },
     "shifter": {"student_id": "string", "academic_year": "int", "semester_number": "int", "from_program_id": "string", "to_program_id": "string"},
+    "admissions": {"college_id": "string", "program_id": "string", "academic_year": "int", "applicants": "int", "accepted": "int", "enrolled_freshmen": "int"},
 }
 VOCABULARIES = {"gender": ("Female", "Male"), "admission_type": ("Freshman", "Transferee"), "program_level": ("Bachelor", "Certificate", "Diploma")}
+# Natural keys, columns of years, and levels beyond a program's duration that are allowed.
 NATURAL_KEYS = {"enrollment": ["student_id", "academic_year", "semester_number"], "shifter": ["student_id", "academic_year", "semester_number"]}
 YEARS = ("academic_year", "cohort_academic_year")
 PERIOD = ["student_id", "academic_year", "semester_number"]
 LEVEL_BUFFER = 2
+# Unique columns, columns that may be null, and ranges of numbers.
+UNIQUE = {"college": "college_id", "program": "program_id", "student": "student_id"}
+OPTIONAL = ("home_province",)
+RANGES = {
+    "birth_year": (1980, 2010), "nominal_duration_years": (0.5, 10), "entry_year_level": (1, None), "year_level": (1, None), "units_enrolled": (0, None), "semester_number": (1, 2),
+    "semesters_completed_before_dropout": (0, None), "applicants": (0, None), "accepted": (0, None), "enrolled_freshmen": (0, None),
+}
 
 
 @dataclass(frozen=True)
@@ -79,7 +89,7 @@ def clean(landed: DataFrame, entity: str) -> Cleaned:
     stats = read.agg(
         F.count("*").alias("rows"), count(N.is_unknown(F.col("enrollment_status"))).alias("unknown_status") if "enrollment_status" in columns else none.alias("unknown_status"),
         sum((count(N.is_unknown(F.col(c))) for c in words), none).alias("unknown_category"), sum(lost, none).alias("coercion_failures"),
-        (F.count("*") - F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]))).alias("duplicates_dropped"),
+        (F.count("*") - F.count_distinct(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]))).alias("duplicates_dropped"),
     )
     return Cleaned(rows, stats)
 
@@ -105,6 +115,47 @@ def validate_enrollment(enrollment: DataFrame, students: DataFrame, dropouts: Da
     return judged.withColumn(rules.FAILED, F.when(passed & F.col("is_illegal"), "progression").otherwise(F.col(rules.FAILED))).drop("__passed", "is_illegal")
 
 
+def contract(entity: str, calendar: P.Calendar, landed: bool = False) -> list[checks.Check]:
+    """What a row of an entity promises: no nulls, no empty text, vocabularies and ranges. ``landed`` is for rows as they
+    arrive, all text: vocabularies of columns that cleaning maps, and years, aren't judged there."""
+    wanted: list[checks.Check] = []
+    for column, kind in ENTITIES[entity].items():
+        if column not in OPTIONAL:
+            wanted.append(checks.not_null(column))
+        if kind == "string" or landed:
+            wanted.append(checks.Check(f"not_empty:{column}", F.coalesce(F.length(F.trim(F.col(column).cast("string"))) == 0, F.lit(False))))
+        if column in VOCABULARIES and not (landed and column == "gender"):
+            wanted.append(checks.accepted_values(column, VOCABULARIES[column]))
+        if column in YEARS and not landed:
+            wanted.append(checks.in_range(column, calendar.first_year, calendar.last_year))
+        if column == "years_to_complete":
+            number = F.col(column).try_cast("double") if landed else F.col(column)
+            wanted.append(checks.Check(f"in_range:{column}", F.coalesce(number <= 0, F.lit(False))))
+        if column in RANGES:
+            low, high = RANGES[column]
+            number = F.col(column).cast("string").try_cast("double") if landed else F.col(column)
+            wanted.append(checks.outside(column, number, low, high))
+    return wanted
+
+
+def contract_report(entity: str, rows: DataFrame, calendar: P.Calendar, landed: bool = False) -> DataFrame:
+    """(check, violations) of an entity's contract, from one pass and, where a column is unique, one aggregation."""
+    found = checks.violations(rows, contract(entity, calendar, landed))
+    if entity not in UNIQUE:
+        return found
+    key = UNIQUE[entity]
+    twice = checks.not_unique(rows, [key]).agg(F.lit(f"unique:{key}").alias("check"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("violations"))
+    return found.unionByName(twice)
+
+
+def first_failures(entity: str, rows: DataFrame, calendar: P.Calendar, key: Sequence[str], n: int = 5, landed: bool = False) -> DataFrame:
+    """(check, key) of the first rows, in order of the key, that break each check of the contract: ``n`` of each at most."""
+    broken = F.array_compact(F.array(*[F.when(c.broken, F.lit(c.name)) for c in contract(entity, calendar, landed)]))
+    each = rows.select(F.explode(broken).alias("check"), *key)
+    order = Window.partitionBy("check").orderBy(*key)
+    return each.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n).drop("__place")
+
+
 def duplicate_share(before: DataFrame, after: DataFrame) -> float:
     n = before.count()
     return 0.0 if not n else 1 - after.count() / n

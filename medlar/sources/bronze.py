@@ -15,12 +15,28 @@ LOG = "stage string, entity string, partition_key string, status string, batch_i
 AUDIT_COLUMNS = ("_ingested_at", "_source_file", "_batch_id")
 
 # Kinds of failure in the run log.
-CATEGORIES = ("CONFIG", "SOURCE", "SCHEMA", "QUALITY", "STORAGE", "DATABASE", "MODEL", "EXTERNAL", "UNKNOWN")
+CATEGORIES = (
+    "INVALID_SCHEMA", "INVALID_ACADEMIC_YEAR", "INVALID_SEMESTER", "INVALID_YEAR_LEVEL", "DUPLICATE_DATA", "DATA_QUALITY_FAILURE", "STORAGE_ERROR",
+    "ENGINE_ERROR", "DATABASE_ERROR", "MART_ERROR", "FEATURE_ENGINEERING_ERROR", "MODEL_TRAINING_ERROR", "MODEL_EVALUATION_ERROR", "FORECAST_ERROR",
+)
 
 
-class IngestionError(ValueError):
+class PipelineError(ValueError):
+    """A failure whose kind is known."""
+
+    def __init__(self, message: str, category: str):
+        if category not in CATEGORIES:
+            raise KeyError(category)
+        super().__init__(message)
+        self.category = category
+
+
+class IngestionError(PipelineError):
     """A source can't be landed."""
 
+    def __init__(self, message: str, category: str = "INVALID_SCHEMA"):
+        super().__init__(message, category)
+
 
 def stamp(df: DataFrame, source: str, batch_id: str) -> DataFrame:
     """Adds when, from where and in which batch a row was landed."""
@@ -41,9 +57,15 @@ def inspect(df: DataFrame) -> dict:
 
 
 def category(error: BaseException) -> str:
-    """The kind of failure, by the error's type."""
-    kinds = ((IngestionError, "SOURCE"), (FileNotFoundError, "SOURCE"), (OSError, "STORAGE"), (KeyError, "SCHEMA"), (ValueError, "QUALITY"))
-    return next((k for t, k in kinds if isinstance(error, t)), "UNKNOWN")
+    """The kind of failure: its own, or by the error's type and the module that it comes from."""
+    if isinstance(error, PipelineError):
+        return error.category
+    if isinstance(error, OSError):
+        return "STORAGE_ERROR"
+    if isinstance(error, KeyError):
+        return "INVALID_SCHEMA"
+    module = type(error).__module__.split(".")[0]
+    return {"pyspark": "ENGINE_ERROR", "py4j": "ENGINE_ERROR", "sqlite3": "DATABASE_ERROR"}.get(module, "DATA_QUALITY_FAILURE")
 
 
 class RunLog:

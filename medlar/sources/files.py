@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,12 +89,15 @@ def read_all_partitions(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(root)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Overwrite a table, also one that ``df`` reads: written beside it first, then moved into its place."""
+def replace(df: DataFrame, path: str, must_exist: bool = False) -> None:
+    """Overwrite a table, also one that ``df`` reads: written beside it first, then moved into its place. With
+    ``must_exist`` a table that isn't there is an error. Rows are counted while they are written."""
     spark = df.sparkSession
-    staged = f"{path}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    if spark.read.parquet(staged).count() != df.count():
+    if must_exist and not exists(spark, path):
+        raise FileNotFoundError(path)
+    staged, written = f"{path}.staged-{uuid.uuid4().hex}", Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(staged)
+    if spark.read.parquet(staged).count() != written.get["n"]:
         raise OSError(f"{staged} does not have all rows")
     old = f"{path}.old-{uuid.uuid4().hex}"
     if exists(spark, path):
@@ -111,20 +114,57 @@ def write_quarantine(df: DataFrame, path: str) -> bool:
     return True
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: str) -> None:
-    """Write a set of tables that belong together as one version; readers see it when the pointer names it."""
+class ConstraintError(ValueError):
+    """A set of tables breaks what it promises."""
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], version: str, constraints: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None) -> None:
+    """Write a set of tables that belong together as one version; readers see it when a pointer names it.
+
+    Columns that start with an underscore stay out. ``constraints`` give, from the tables as written, the rows that break
+    them: if any has rows, nothing is pointed to. Pointers are numbered, a new one appears by one rename, and the last
+    one counts: at no time is there none."""
     for name, df in tables.items():
         df.select([c for c in df.columns if not c.startswith("_")]).write.parquet(f"{root}/versions/{version}/{name}")
-    pointer = f"{root}/current-{uuid.uuid4().hex}"
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(pointer)
-    if exists(spark, f"{root}/current"):
-        delete(spark, f"{root}/current")
-    rename(spark, pointer, f"{root}/current")
+    written = {name: spark.read.parquet(f"{root}/versions/{version}/{name}") for name in tables}
+    broken = [name for name, check in (constraints or {}).items() if not check(written).isEmpty()]
+    if broken:
+        raise ConstraintError(f"version {version}: {', '.join(sorted(broken))}")
+    staged = f"{root}/staged-{uuid.uuid4().hex}"
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(staged)
+    rename(spark, staged, f"{root}/pointers/{len(pointers(spark, root)):010}")
+
+
+def pointers(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the pointers, the last one counts."""
+    fs, where = _fs(spark, f"{root}/pointers")
+    return sorted(str(f.getPath()) for f in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    found = pointers(spark, root)
+    if not found:
+        raise FileNotFoundError(f"{root}: nothing is published")
+    return spark.read.text(found[-1]).first()[0]
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/versions/{version}/{name}")
+    return spark.read.parquet(f"{root}/versions/{current_version(spark, root)}/{name}")
+
+
+def sql_scan(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
+    """A statement over tables that are registered under the given names while it is analysed."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    found = spark.sql(statement)
+    for name in tables:
+        spark.catalog.dropTempView(name)
+    return found
+
+
+def jdbc_scan(spark: SparkSession, url: str, statement: str, **options: str) -> DataFrame:
+    """A statement that a database runs; its driver must be on the class path."""
+    return spark.read.format("jdbc").options(url=url, query=statement, **options).load()
 
 
 def save_table(df: DataFrame, name: str) -> None:
@@ -150,6 +190,11 @@ def reference_rows(spark: SparkSession, text: str, key: str, columns: Sequence[s
     return spark.createDataFrame([tuple(e.get(c) for c in columns) for e in entries], schema)
 
 
+def write_csv_report(df: DataFrame, path: str) -> None:
+    """A small report as one CSV file with a header; n/a for what is missing."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "n/a").csv(path)
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small report as a Markdown table; n/a for what is missing, a sign before differences."""
     rows = df.limit(most).collect()

@@ -62,11 +62,25 @@ def progression(entered: DataFrame, calendar: Calendar, programs: int, duration:
     return entered.select("student_id", F.explode(course).alias("r")).select("student_id", "r.*")
 
 
+def swapped(text: Column, at: Column) -> Column:
+    """With the characters at places ``at`` and after it, from 1, in each other's place; shorter text as it is."""
+    pair = F.concat(F.substring(text, at + 1, F.lit(1)), F.substring(text, at, F.lit(1)))
+    return F.when(F.length(text) > at, F.overlay(text, pair, at, F.lit(2))).otherwise(text)
+
+
+def without_one(text: Column, at: Column) -> Column:
+    """Without the character at place ``at``, from 1; of text under two characters nothing goes."""
+    return F.when(F.length(text) > 1, F.overlay(text, F.lit(""), at, F.lit(1))).otherwise(text)
+
+
 def with_noise(rows: DataFrame, key: tuple[str, ...], text: str, ordinal: str, calendar: Calendar, seed: int = 44) -> DataFrame:
-    """Adds landed_ordinal, and noise: other spellings of ``text`` in some rows, exact copies of some, and some rows that
-    arrive again in the next period under their own ordinal."""
+    """Adds landed_ordinal, and noise: typos (two letters swapped or one dropped) and other case of ``text`` in some rows,
+    exact copies of some, and some rows that arrive again in the next period under their own ordinal."""
     u = lambda what: chance(seed, *[F.col(k) for k in key], F.lit(what))
-    spelled = F.when(u("typo") < TYPOS / 2, F.concat(F.lit(" "), F.lower(text))).when(u("typo") < TYPOS, F.overlay(F.col(text), F.substring(text, 3, 1), F.lit(2), F.lit(1))).otherwise(F.col(text))
+    value = F.col(text)
+    at = (F.floor(u("at") * F.greatest(F.length(value) - 1, F.lit(1))) + 1).cast("int")
+    mutated = F.when(u("kind") < 0.5, swapped(value, at)).otherwise(without_one(value, at))
+    spelled = F.when(u("typo") < TYPOS, mutated).when(u("case") < TYPOS, F.concat(F.lit(" "), F.lower(value))).otherwise(value)
     noisy = rows.withColumn(text, spelled).withColumn("landed_ordinal", F.col(ordinal))
     again = noisy.where(u("copy") < COPIES)
     late = noisy.where((u("late") < LATE) & (F.col(ordinal) < calendar.periods - 1)).withColumn("landed_ordinal", F.col(ordinal) + 1)
@@ -77,9 +91,13 @@ def admissions(enrolled: DataFrame, group: tuple[str, ...], seed: int = 45) -> D
     """(group, enrolled_freshmen, accepted, applicants): the funnel that leads to the freshmen, built backwards."""
     counted = enrolled.groupBy(*group).agg(F.count("*").alias("enrolled_freshmen"))
     keys = [F.col(g) for g in group]
-    taken = F.ceil(F.col("enrolled_freshmen") / (0.5 + 0.4 * chance(seed, *keys, F.lit("yield"))))
-    asked = F.ceil(F.col("accepted") / (0.4 + 0.5 * chance(seed, *keys, F.lit("accept"))))
-    return counted.withColumn("accepted", taken).withColumn("applicants", asked)
+    return funnel_before(counted, "enrolled_freshmen", 0.5 + 0.4 * chance(seed, *keys, F.lit("yield")), 0.4 + 0.5 * chance(seed, *keys, F.lit("accept")))
+
+
+def funnel_before(counted: DataFrame, enrolled: str, took_up: Column, accepted: Column) -> DataFrame:
+    """Adds accepted and applicants: how many it took for ``enrolled`` at these shares, rounded up."""
+    made = counted.withColumn("accepted", F.ceil(F.col(enrolled) / took_up).cast("long"))
+    return made.withColumn("applicants", F.ceil(F.col("accepted") / accepted).cast("long"))
 
 
 def outcomes(course: DataFrame, entered: DataFrame) -> DataFrame:
