@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+import medlar.plans.jobs  # noqa: F401  (registers its queries)
 from medlar.plans.queries import ORACLES, QUERIES, entry
 
 FOLDER = "/root/testdata/sf0.001"
