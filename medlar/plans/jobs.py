@@ -362,12 +362,12 @@ def partition_key_parts(spark: SparkSession, sf: str) -> DataFrame:
     return parts.groupBy("year", "semester", "other").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderkey, round(CASE WHEN x <= 1 THEN 0.1 WHEN x <= 50 THEN 0.1 + (x - 1) * ((0.4::DOUBLE - 0.1::DOUBLE) / (50.0::DOUBLE - 1.0::DOUBLE)) WHEN x <= 200 THEN 0.4 + (x - 50) * ((0.9::DOUBLE - 0.4::DOUBLE) / (200.0::DOUBLE - 50.0::DOUBLE)) ELSE 0.9 END, 6) AS chance
+@query("""SELECT o_orderkey, CASE WHEN x <= 1 THEN 0.1::DOUBLE WHEN x <= 50 THEN 0.1 + (x - 1) * ((0.4::DOUBLE - 0.1::DOUBLE) / (50.0::DOUBLE - 1.0::DOUBLE)) WHEN x <= 200 THEN 0.4 + (x - 50) * ((0.9::DOUBLE - 0.4::DOUBLE) / (200.0::DOUBLE - 50.0::DOUBLE)) ELSE 0.9 END AS chance
   FROM (SELECT o_orderkey, o_totalprice::DOUBLE / 1000 AS x FROM orders)""")
 def interpolated_chance(spark: SparkSession, sf: str) -> DataFrame:
     """A broken line between points, flat outside."""
     x = F.col("o_totalprice").cast("double") / 1000
-    return R.read(spark, sf, "orders").select("o_orderkey", F.round(P.interpolate(x, [(1.0, 0.1), (50.0, 0.4), (200.0, 0.9)]), 6).alias("chance"))
+    return R.read(spark, sf, "orders").select("o_orderkey", P.interpolate(x, [(1.0, 0.1), (50.0, 0.4), (200.0, 0.9)]).alias("chance"))
 
 
 @query("""SELECT c_custkey, substr(c_name, 1, a - 1) || substr(c_name, a + 1, 1) || substr(c_name, a, 1) || substr(c_name, a + 2) AS swapped, substr(c_name, 1, a - 1) || substr(c_name, a + 1) AS dropped
