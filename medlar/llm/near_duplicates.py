@@ -34,6 +34,8 @@ ROWS = 4
 #: Most members of a block, and hubs that each block of a larger bucket is compared with.
 BLOCK = 256
 HUBS = 8
+#: Blocks of members that are apart from which on a bucket is split by rare shingles: every member would be dealt as often.
+SPLIT = 64
 #: Texts with more copies than this, and than a share of all rows, get their class by broadcast: so many at most.
 COPIES = 256
 MOST_COPIED = 500_000
@@ -341,9 +343,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         sizes = at.groupBy("bucket", "label").agg(F.count("*").alias("of"))
         main = sizes.groupBy("bucket").agg(F.max(F.struct("of", "label")).alias("main"), F.sum("of").alias("all")).where("main.of < all")
         apart = at.join(main.select("bucket", F.col("main.label").alias("main"), (F.col("all") - F.col("main.of")).alias("k")), "bucket")
-        wide = apart.where(F.col("k") > BLOCK)
+        wide = apart.where(F.col("k") > SPLIT * BLOCK)
         if not wide.isEmpty():
-            apart = apart.where(F.col("k") <= BLOCK).unionByName(_by_rare_shingles(wide, docs, spots, threshold))
+            apart = apart.where(F.col("k") <= SPLIT * BLOCK).unionByName(_by_rare_shingles(wide, docs, spots, threshold))
         apart = cut(apart)
         parts = F.ceil(F.col("k") / BLOCK).cast("int")
         lone = apart.where("label <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("bucket", "node"), parts).cast("int").alias("part"), "node", F.lit(True).alias("lone"), "label")

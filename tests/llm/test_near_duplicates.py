@@ -68,6 +68,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
 def test_large_buckets_that_stay_apart_lose_no_link(spark, monkeypatch):
     """Texts that share a long notice, alike in many bands but not similar; some have a near copy among them."""
     monkeypatch.setattr(ND, "BLOCK", 12)
+    monkeypatch.setattr(ND, "SPLIT", 1)
     dealt = []
     by_rare = ND._by_rare_shingles
     monkeypatch.setattr(ND, "_by_rare_shingles", lambda *a: dealt.append(by_rare(*a)) or dealt[-1])
