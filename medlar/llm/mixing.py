@@ -119,9 +119,10 @@ def mix(docs: DataFrame, seed: int = SEED, shards: int = SHARDS, block: int = BL
     sums = sums.select("place", "bucket", (F.col("before") + F.col("inside")).alias("ahead"))
 
     rows = placed(rows).join(sums, ["place", "bucket"])
-    inside = Window.partitionBy("place", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    full = rows.where("size > 0").withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = full.unionByName(rows.where("size = 0").withColumn("start", F.col("ahead")))
+    # rows without words add nothing to each other's places, so they are spread
+    part = F.when(F.col("size") > 0, 0).otherwise(1 + F.pmod(F.xxhash64("key"), F.lit(RUN)))
+    inside = Window.partitionBy("place", "bucket", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", part).withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     start, size, extra = F.col("start"), F.col("size"), F.col("plan.extra")
     taken = F.col("plan.passes") * size + F.greatest(F.lit(0), F.least(size, extra - start))
     copies = F.col("plan.passes") + F.when(start < extra, 1).otherwise(0)
