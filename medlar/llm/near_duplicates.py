@@ -354,19 +354,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
         links = links.union(_links(_with_shingles(cut(more), docs, spots), threshold, True))
         found = components(links)
 
-    linked = found.union(found.select(F.col("root").alias("node"), "root").distinct()).join(texts, "node")
-    least = linked.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = linked.join(least, "root").select("node", "check", "class_id")
+    linked = cut(found.union(found.select(F.col("root").alias("node"), "root").distinct()).join(texts.drop("copies"), "node"))
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("of")))
+    total = marked.count()
+    classes = _join_heavy(linked, least, ["root"], F.col("of") > max(COPIES, total // MOST_COPIED)).select("node", "check", "class_id")
     classes = cut(texts.join(classes, ["node", "check"], "left").select("node", "check", "copies", F.coalesce("class_id", "least").alias("class_id")))
-    # a text with many copies is a hot key: there are few such texts, by their number of copies, so their classes are broadcast
-    many = F.col("copies") > max(COPIES, marked.count() // MOST_COPIED)
-    copied, others = F.broadcast(classes.where(many).drop("copies")), classes.where(~many).drop("copies")
-    known = marked.select(F.col("id").alias("doc_id"), "node", "check")
-    single = known.join(copied.select("node", "check"), ["node", "check"], "left_anti").join(others, ["node", "check"])
-    known = known.join(copied, ["node", "check"]).unionByName(single).select("doc_id", "class_id")
+    known = _join_heavy(marked.select(F.col("id").alias("doc_id"), "node", "check"), classes, ["node", "check"], F.col("copies") > max(COPIES, total // MOST_COPIED)).select("doc_id", "class_id")
     return known.union(docs.where("text IS NULL").select(ident.alias("doc_id"), ident.alias("class_id")))
 
 
+def _join_heavy(rows: DataFrame, table: DataFrame, key: list[str], heavy: Column) -> DataFrame:
+    """``rows`` joined with a table of one row a key, all of which are there. Keys that are ``heavy`` have so many rows that
+    there are few of them: they are broadcast, and no task gets all rows of one."""
+    few = F.broadcast(table.where(heavy))
+    rest = rows.join(few.select(*key), key, "left_anti").join(table.where(~heavy), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one with the least id stays, and every row with a
     null text. Where ids are null or repeat, a hash of id and text stands for the id, and of equal rows one stays."""
