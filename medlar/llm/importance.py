@@ -84,6 +84,11 @@ def _last_kept(keyed: DataFrame, k: int) -> tuple | None:
                 break
             left -= n
         inside = keyed.where(F.col("key").between(low, high))
+    if n > TIES:  # one key: rows of one tie are kept together
+        for tie, of in inside.groupBy("tie").agg(F.count("*")).orderBy("tie").toLocalIterator():
+            if left <= of:
+                return low, tie
+            left -= of
     return tuple(inside.orderBy(F.desc("key"), "tie").limit(left).orderBy("key", F.desc("tie")).first())
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from medlar.llm import importance, language, toxicity
-from medlar.llm.shared import text_bytes
+from medlar.llm.shared import mix64, span_hashes, text_bytes
 
 
 def plain_models(texts, toxic):
@@ -96,6 +96,40 @@ def test_importance_selects_the_largest_keys(spark, documents):
     assert mean[1] > 0 > mean[0]
 
 
+def test_importance_weights_against_plain_counts(spark):
+    """Bucket counts of words and pairs, ratios and sums of them, one word after another."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"W{k}" if k % 2 else f"v{k}" for k in rng.integers(0, 60, rng.integers(0, 30)))) for i in range(80)] + [(80, None), (81, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 80, 2)], "doc_id long, quality int")
+
+    def buckets(text):
+        words = [w.lower().encode() for w in (text or "").split()]
+        hashes = [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+        pairs = [int(mix64(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(hashes, hashes[1:], strict=False)]
+        return [h % importance.BUCKETS for h in hashes + pairs]
+
+    raw = Counter(b for _, t in rows for b in buckets(t))
+    own = Counter(b for i, t in rows if i < 80 and i % 6 == 0 for b in buckets(t))
+    all_raw, all_own = (sum(x.values()) + importance.SMOOTHING * importance.BUCKETS for x in (raw, own))
+    weight = lambda b: math.log((own[b] + importance.SMOOTHING) / all_own) - math.log((raw[b] + importance.SMOOTHING) / all_raw)
+    got = {r["doc_id"]: r for r in importance.importance_sample(docs, labels).collect()}
+    for i, t in rows:
+        assert got[i]["n_features"] == len(buckets(t))
+        assert got[i]["log_weight"] == pytest.approx(sum(map(weight, buckets(t))), abs=1e-9)
+
+
+def test_importance_keeps_many_equal_rows_together(spark, monkeypatch):
+    monkeypatch.setattr(importance, "TIES", 5)
+    docs = spark.createDataFrame([(None, "")] * 60 + [(i, "a b c") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    rows = sorted(importance.importance_sample(docs, labels, keep=0.5).collect(), key=lambda r: -r["gumbel_key"])
+    kept = [r["selected"] for r in rows]
+    assert kept == sorted(kept, reverse=True)
+    equal = {r["selected"] for r in rows if r["doc_id"] is None}
+    assert len(equal) == 1
+
+
 def test_importance_narrows_down_to_the_last_row(spark, documents, monkeypatch):
     monkeypatch.setattr(importance, "TIES", 3)
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

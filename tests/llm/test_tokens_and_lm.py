@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from medlar.llm import lm_scoring, token_counts
+from medlar.llm import lm_scoring, shared, token_counts
 from medlar.llm.recurrent import CLASSES, OUTPUTS, GatedModel
 
 PATH, PATTERN = str(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN
@@ -57,6 +57,19 @@ def test_the_table_is_bounded_and_from_all_documents(spark):
     assert len(token_counts.frequent_lengths(df, PATH, PATTERN, sample=400).value) < 12
 
 
+def test_hashes_do_not_depend_on_place_or_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    buf = rng.integers(1, 255, 5_000).astype(np.uint8)
+    cuts = np.sort(rng.choice(5_000, 60, replace=False))
+    cuts = cuts[np.concatenate([[True], np.diff(cuts) > 1])]
+    starts, ends = np.append(0, cuts), np.append(cuts, 5_000)
+    whole = shared.span_hashes(buf, starts, ends)
+    monkeypatch.setattr(shared, "_PIECE", 100)
+    assert (shared.span_hashes(buf, starts, ends) == whole).all()
+    alone = [shared.span_hashes(buf[a:b], np.array([0]), np.array([b - a]))[0] for a, b in zip(starts, ends, strict=True)]
+    assert (np.array(alone) == whole).all()
+
+
 def test_gradients():
     rng = np.random.default_rng(2)
     model = GatedModel(1, hidden=5)
