@@ -4,7 +4,8 @@ Numbers, names and units of a text become typed placeholders and the rest its lo
 a copy of it with other numbers or names have the same template. Windows of WINDOW template tokens are joined by hash.
 Matches with the same distance between the places in document and item belong to one passage; a passage counts if enough
 windows of the item follow one another in it and its slots are consistent: whatever stands in the item's slot, one value
-of the item always became the same value of the document. Items of one template whose slots are alike and differ alike
+of the item always became the same value of the document. Where every window of an item matches, this is asked of names
+only: a number that an item has in two roles may come back as two numbers. Items of one template whose slots are alike and differ alike
 are one class, and only the class is matched, so a benchmark of many questions of one form makes no product of questions
 and documents. DataFrame operations only.
 """
@@ -21,7 +22,7 @@ WINDOW = 8
 LEAST = 3
 #: Tokens of a window that must be words and not placeholders, and distinct.
 WORDS = 4
-#: Share of an item's distinct slot values that must each map to a single value.
+#: Share of an item's distinct slot values that must each map to a single value; of names only, where all windows match.
 CONSISTENT = 0.9
 # Units of measure.
 UNITS = (
@@ -100,7 +101,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``docs`` needs text, ``benchmark`` item_id and text. Equal texts are looked at once. Null and empty texts and items
     hold nothing; items with under WORDS distinct words besides placeholders in every window can't be told from chance
-    and match nothing. Empty tables give an empty result.
+    and match nothing. Empty tables give an empty result. ``consistent`` is of all slots, and can be below CONSISTENT where
+    every window of the item matched.
     """
     items = cut(_item_windows(template_classes(benchmark)))
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most WINDOW of them
@@ -124,11 +126,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     tokens = source.groupBy("text_hash").agg(F.first("text").alias("text")).select("text_hash", template(F.col("text"), values=True).alias("tokens"))
     compared = slotted.join(tokens, "text_hash").withColumn("own", F.expr("slice(tokens, place + 1, size)"))
     compared = compared.select("text_hash", "item_id", "size", "shift", F.explode(F.arrays_zip(F.col("values").alias("a"), F.col("own").alias("b"))).alias("s"))
-    compared = compared.where("s.a > 0").groupBy("text_hash", "item_id", "size", "shift", "s.a").agg((F.min("s.b") == F.max("s.b")).alias("one"))
-    slots = compared.groupBy("text_hash", "item_id", "size", "shift").agg(F.count("*").alias("slots"), F.avg(F.col("one").cast("double")).alias("consistent"))
+    compared = compared.where("s.a > 0").groupBy("text_hash", "item_id", "size", "shift", "s.a").agg((F.min("s.b") == F.max("s.b")).cast("double").alias("one"), F.min("s.b").startswith("@").alias("named"))
+    names = F.avg(F.when(F.col("named"), F.col("one"))).alias("names")
+    slots = compared.groupBy("text_hash", "item_id", "size", "shift").agg(F.count("*").alias("slots"), F.avg("one").alias("consistent"), names)
 
     judged = passages.join(slots, ["text_hash", "item_id", "size", "shift"], "left")
-    judged = judged.where(F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT)
+    whole = (F.col("n") >= F.col("windows")) & (F.col("n") >= LEAST) & (F.coalesce("names", F.lit(1.0)) >= CONSISTENT)
+    judged = judged.where((F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT) | whole)
     return judged.groupBy("text_hash", "item_id").agg(
         F.max("n").alias("windows"), F.max("windows").alias("item_windows"), F.max(F.coalesce("slots", F.lit(0))).alias("slots"), F.max(F.coalesce("consistent", F.lit(1.0))).alias("consistent")
     )

@@ -46,6 +46,18 @@ def test_new_numbers_and_names_are_caught_if_consistent(spark):
     assert got[(2, 10)]["slots"] >= 5
 
 
+def test_a_number_in_two_roles_may_become_two(spark):
+    form = "A farmer sells {} apples and {} pears at the old market, gives {} to {} and walks home with {} again."
+    items = [(1, form.format(2, 2, 5, "Tom", "Tom"))]
+    whole = "So it is. " + form.format(30, 51, 7, "Eve", "Eve") + " That was it."
+    part = "So it is. A farmer sells 30 apples and 51 pears at the old market, then all is over."
+    other = form.format(30, 51, 7, "Eve", "Bob")
+    got = found(spark, [(1, whole), (2, part), (3, other)], items)
+    assert set(got) == {(1, 1)}
+    assert got[(1, 1)]["windows"] == got[(1, 1)]["item_windows"]
+    assert got[(1, 1)]["consistent"] < D.CONSISTENT
+
+
 def test_placeholders_alone_are_no_evidence(spark):
     assert found(spark, [(1, "1 2 3 4 5 6 7 8 9 10 11 12")], [(1, "9 8 7 6 5 4 3 2 1 0 1 2"), (2, "one two"), (3, None), (4, "")]) == {}
 
